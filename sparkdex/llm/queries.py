@@ -13,6 +13,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_scan
 
@@ -25,8 +31,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    found = [op2_license_scan, op7_secret_scan, op8_decontaminate]
+    found = [op2_license_scan, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language]
     return {f.__name__: f for f in found}
 
 
