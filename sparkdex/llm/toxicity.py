@@ -10,53 +10,61 @@ from pyspark.sql import functions as F
 from .common import WordHashes, ascii_words, documents, drop, stored, texts_of
 from .language import fold
 
-#: Words are told apart by hash modulo this; the model's size is bounded by it and by max_train.
-BINS = 1 << 18
+#: Words are told apart by hashes of so many bits; -1 stands for any previous word.
+BITS = 31
+START, ANY = 0, -1
 WINDOWS = (1, 4, 16)
-DISCOUNT = 0.75
+DISCOUNT = 1.0
+#: Contexts that the shared backoff adds to those seen.
+PRIOR = 20
 FLUSH = 1 << 19
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def bins_of(hashes: WordHashes, text: bytes | None) -> np.ndarray:
-    """A text's words as bins, after a start symbol (bin 0)."""
+def keys_of(hashes: WordHashes, text: bytes | None) -> np.ndarray:
+    """A text's words as keys, after a start symbol."""
     words = ascii_words(text)
-    return np.r_[np.int64(0), (hashes.of(words) % np.uint64(BINS - 1)).astype(np.int64) + 1]
+    return np.r_[np.int64(START), (hashes.of(words) >> np.uint64(64 - BITS)).astype(np.int64)]
+
+
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key; the number of sorted keys for one that isn't there."""
+    n = len(sorted_keys)
+    if not n:
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(sorted_keys, keys)
+    return np.where(sorted_keys[np.minimum(at, n - 1)] == keys, at, n)
 
 
 class KneserNey:
     """ln p(word | previous, toxic) - ln p(word | previous, ordinary).
 
-    pairs: (u, v) keys u * BINS + v, sorted; n: documents that hold them, by class.
+    A pair of words that a class has in two documents at least keeps its discounted count; the rest of a
+    context's mass goes to a unigram of distinct contexts (counted in distinct documents at most), and the rest
+    of that to the contexts of both classes together. Either backoff takes the weight of the less observed class
+    for both classes, so that a word of which neither class knows anything tells for neither.
     """
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, by_word: np.ndarray, by_context: np.ndarray):
-        """pairs, n: those in two documents of a class at least. by_word: distinct contexts in either class, in
-        class 0, in class 1. by_context: documents in class 0 and 1, discounted counts kept in class 0 and 1."""
-        shared = (by_word[:, 0] + 0.5) / (by_word[:, 0].sum() + 0.5 * BINS)
-        self.pairs, self.unigram, self.give, self.bigram = pairs, [], [], []
-        for c in (0, 1):
-            total = max(by_word[:, 1 + c].sum(), 1.0)
-            kept = np.maximum(by_word[:, 1 + c] - DISCOUNT, 0)
-            self.unigram.append((kept + (total - kept.sum()) * shared) / total)
-            context = np.maximum(by_context[:, c], 1e-9)
-            # pairs of a single document go to the backoff whole
-            self.bigram.append(np.where(n[:, c] >= 2, n[:, c] - DISCOUNT, 0) / context[pairs // BINS])
-            self.give.append(np.clip(1 - by_context[:, 2 + c] / context, 1e-6, 1))
+    def __init__(self, words, contexts, pairs, totals: np.ndarray):
+        """words: key, contexts in either class, in class 0, in class 1. contexts: key, documents in class 0 and 1,
+        kept in class 0 and 1. pairs: u, v, documents in class 0 and 1. totals: sums of the words' columns, and
+        their number, over all words. Each sorted by key."""
+        self.words, self.contexts, self.pairs = words[:, 0].astype(np.int64), contexts[:, 0].astype(np.int64), (pairs[:, 0].astype(np.int64) << BITS) | pairs[:, 1].astype(np.int64)
+        kept = [np.maximum(words[:, 2 + c] - DISCOUNT, 0) / max(totals[1 + c], 1.0) for c in (0, 1)]
+        rest = max(1 - k.sum() for k in kept)
+        shared = rest * (np.r_[words[:, 1], 0] + PRIOR) / (totals[0] + PRIOR * (totals[3] + 1))
+        self.unigram = [np.r_[k, 0.0] + shared for k in kept]
+        share = [contexts[:, 3 + c] / np.maximum(contexts[:, 1 + c], 1e-9) for c in (0, 1)]
+        self.give = np.r_[np.clip(1 - np.minimum(*share), 1e-6, 1), 1.0]
+        at = find(self.contexts, pairs[:, 0].astype(np.int64))
+        self.bigram = [np.r_[np.where(pairs[:, 2 + c] >= 2, pairs[:, 2 + c] - DISCOUNT, 0) / np.r_[np.maximum(contexts[:, 1 + c], 1), 1][at], 0.0] for c in (0, 1)]
 
     def ratios(self, words: np.ndarray) -> np.ndarray:
         u, v = words[:-1], words[1:]
-        key = u * BINS + v
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
-        p = []
-        for c in (0, 1):
-            q = self.give[c][u] * self.unigram[c][v]
-            q[known] += self.bigram[c][at[known]]
-            p.append(np.log(q))
-        return p[1] - p[0]
+        word, pair, give = find(self.words, v), find(self.pairs, (u << BITS) | v), self.give[find(self.contexts, u)]
+        p = [self.bigram[c][pair] + give * self.unigram[c][word] for c in (0, 1)]
+        return np.log(p[1] / p[0])
 
     def features(self, words: np.ndarray) -> list[float]:
         """Length-normalised differences: of the text, and of its most toxic stretch of each window length."""
@@ -86,7 +94,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(key, n0, n1): in how many of the rows' texts each pair of successive words stands, by class."""
+    """(u, v, n0, n1): in how many of the rows' texts v follows u, or ANY, by class."""
 
     def count(batches):
         hashes, sums = WordHashes(), [[], []]
@@ -97,28 +105,24 @@ def pair_counts(rows: DataFrame) -> DataFrame:
                 if sums[c]:
                     key, n = np.unique(np.concatenate(sums[c]), return_counts=True)
                     zero = np.zeros(len(key), np.int64)
-                    yield pa.RecordBatch.from_pydict({"key": key, "n0": zero if c else n, "n1": n if c else zero})
+                    yield pa.RecordBatch.from_pydict({"u": key >> BITS, "v": key & ((1 << BITS) - 1), "n0": zero if c else n, "n1": n if c else zero})
                     sums[c] = []
 
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch), strict=True):
-                words = bins_of(hashes, text)
-                sums[toxic].append(np.unique(words[:-1] * BINS + words[1:]))
+                words = keys_of(hashes, text)
+                sums[toxic] += [np.unique((words[:-1] << BITS) | words[1:]), np.unique((np.int64(ANY) << BITS) | words[1:])]
                 held += len(words)
                 if held > FLUSH:
                     yield from flush()
                     held = 0
         yield from flush()
 
-    return rows.select("toxic", "text").mapInArrow(count, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return rows.select("toxic", "text").mapInArrow(count, "u long, v long, n0 long, n1 long").groupBy("u", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def dense(sums: DataFrame) -> np.ndarray:
-    """Aggregates by bin as an array of BINS rows."""
-    rows = sums.toPandas().to_numpy(dtype=float).reshape(-1, len(sums.columns))
-    out = np.zeros((BINS, rows.shape[1] - 1))
-    out[rows[:, 0].astype(np.int64)] = rows[:, 1:]
-    return out
+def array_of(df: DataFrame, *keys: str) -> np.ndarray:
+    return df.toPandas().sort_values(list(keys)).to_numpy(dtype=float).reshape(-1, len(df.columns))
 
 
 def fit(docs: DataFrame, labels: DataFrame, of: int, held: int, max_train: int) -> tuple[KneserNey, np.ndarray]:
@@ -137,18 +141,21 @@ def fit(docs: DataFrame, labels: DataFrame, of: int, held: int, max_train: int)
     # one fold of the learning rows sets the weights, the others the counts
     calibrate = (held + 1) % of
     counts, path = stored(pair_counts(rows.where(fold("doc_id", of) != calibrate)), "toxic-pairs")
-    kept = [F.when(F.col(c) >= 2, F.col(c) - DISCOUNT).otherwise(0.0) for c in ("n0", "n1")]
-    by_word = dense(counts.groupBy((F.col("key") % BINS).alias("k")).agg(F.count("*"), *(F.sum((F.col(c) > 0).cast("long")) for c in ("n0", "n1"))))
-    by_context = dense(counts.groupBy(F.floor(F.col("key") / BINS).alias("k")).agg(F.sum("n0"), F.sum("n1"), *map(F.sum, kept)))
-    pairs = counts.where("greatest(n0, n1) >= 2").toPandas().sort_values("key")
+    pairs = counts.where(F.col("u") != ANY)
+    any_ = F.col("u") == ANY
+    contexts_of = [F.least(F.sum((~any_ & (F.col(c) > 0)).cast("long")), F.sum(F.when(any_, F.col(c)).otherwise(0))) for c in ("n0", "n1")]
+    words = counts.groupBy("v").agg(F.sum((~any_).cast("long")).alias("seen"), contexts_of[0].alias("c0"), contexts_of[1].alias("c1"))
+    totals = np.array([x or 0 for x in words.agg(F.sum("seen"), F.sum("c0"), F.sum("c1"), F.count("*")).first()], float)
+    kept = [F.sum(F.when(F.col(c) >= 2, F.col(c) - DISCOUNT).otherwise(0.0)).alias(k) for c, k in (("n0", "k0"), ("n1", "k1"))]
+    contexts = pairs.groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *kept).where("k0 + k1 > 0")
+    model = KneserNey(array_of(words.where("greatest(c0, c1) >= 2"), "v"), array_of(contexts, "u"), array_of(pairs.where("greatest(n0, n1) >= 2"), "u", "v"), totals)
     drop(docs.sparkSession, path)
-    model = KneserNey(pairs["key"].to_numpy().astype(np.int64), pairs[["n0", "n1"]].to_numpy(), by_word, by_context)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         hashes = WordHashes()
         for batch in batches:
-            f = [shared.value.features(bins_of(hashes, t)) for t in texts_of(batch)]
+            f = [shared.value.features(keys_of(hashes, t)) for t in texts_of(batch)]
             yield pa.RecordBatch.from_pydict({"f": f, "toxic": batch.column("toxic")}, schema=pa.schema([("f", pa.list_(pa.float64())), ("toxic", pa.int32())]))
 
     seen = rows.where(fold("doc_id", of) == calibrate).select("toxic", "text").mapInArrow(measure, "f array<double>, toxic int").toPandas()
@@ -176,7 +183,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, of: int = 5, held: int =
     def predict(batches):
         hashes = WordHashes()
         for batch in batches:
-            f = np.array([model.value.features(bins_of(hashes, t)) for t in texts_of(batch)]).reshape(-1, 1 + len(WINDOWS))
+            f = np.array([model.value.features(keys_of(hashes, t)) for t in texts_of(batch)]).reshape(-1, 1 + len(WINDOWS))
             score = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=ARROW)
 
