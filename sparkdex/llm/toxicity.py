@@ -40,10 +40,11 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class KneserNey:
     """ln p(word | previous, toxic) - ln p(word | previous, ordinary).
 
-    A pair of words that a class has in two documents at least keeps its discounted count; the rest of a
-    context's mass goes to a unigram of distinct contexts (counted in distinct documents at most), and the rest
-    of that to the contexts of both classes together. Either backoff takes the weight of the less observed class
-    for both classes, so that a word of which neither class knows anything tells for neither.
+    A pair of words that a class has in two documents at least keeps its discounted count, on top of the count of
+    both classes together; beside it stands a unigram of distinct contexts (counted in distinct documents at
+    most), discounted likewise on top of the contexts of both classes. What is shared has the same weight in
+    both classes, so that rare expressions tell little, and a word of which neither class knows anything tells
+    for neither.
     """
 
     def __init__(self, words, contexts, pairs, totals: np.ndarray):
@@ -55,10 +56,12 @@ class KneserNey:
         rest = max(1 - k.sum() for k in kept)
         shared = rest * (np.r_[words[:, 1], 0] + PRIOR) / (totals[0] + PRIOR * (totals[3] + 1))
         self.unigram = [np.r_[k, 0.0] + shared for k in kept]
-        share = [contexts[:, 3 + c] / np.maximum(contexts[:, 1 + c], 1e-9) for c in (0, 1)]
-        self.give = np.r_[np.clip(1 - np.minimum(*share), 1e-6, 1), 1.0]
-        at = find(self.contexts, pairs[:, 0].astype(np.int64))
-        self.bigram = [np.r_[np.where(pairs[:, 2 + c] >= 2, pairs[:, 2 + c] - DISCOUNT, 0) / np.r_[np.maximum(contexts[:, 1 + c], 1), 1][at], 0.0] for c in (0, 1)]
+        context = np.maximum(contexts[:, 1] + contexts[:, 2], 1)
+        self.give = np.r_[np.clip(1 - np.maximum(contexts[:, 3], contexts[:, 4]) / context, 1e-6, 1), 1.0]
+        context = np.r_[context, 1][find(self.contexts, pairs[:, 0].astype(np.int64))]
+        n = pairs[:, 2:]
+        share = np.maximum(totals[1:3], 1) / max(totals[1:3].sum(), 1)
+        self.bigram = [np.r_[(np.maximum(n[:, c] - DISCOUNT, 0) / share[c] + n.sum(axis=1) + PRIOR) / context, 0.0] for c in (0, 1)]
 
     def ratios(self, words: np.ndarray) -> np.ndarray:
         u, v = words[:-1], words[1:]
