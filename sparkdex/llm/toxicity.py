@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .language import fold
 #: Words are told apart by hashes of so many bits; -1 stands for any previous word.
 BITS = 31
 START, ANY = 0, -1
+#: Besides the words themselves, a second model reads their first letters, which inflected forms share.
+STEM = 4
 WINDOWS = (1, 4, 16)
 DISCOUNT = 1.0
 #: Contexts that the shared backoff adds to those seen.
@@ -22,12 +25,29 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def keys_of(hashes: WordHashes, text: bytes | None) -> np.ndarray:
-    """A text's words as keys, after a start symbol."""
-    words = ascii_words(text)
+class StemHashes(WordHashes):
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word.decode("utf-8", "replace")[:STEM])
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = h
+        return h
+
+
+def streams() -> tuple[WordHashes, WordHashes]:
+    return WordHashes(), StemHashes()
+
+
+def keys_of(hashes: WordHashes, words: list[bytes]) -> np.ndarray:
+    """Words as keys, after a start symbol."""
     return np.r_[np.int64(START), (hashes.of(words) >> np.uint64(64 - BITS)).astype(np.int64)]
 
 
+def features_of(models: list[KneserNey], hashes, text: bytes | None) -> list[float]:
+    words = ascii_words(text)
+    return [x for m, h in zip(models, hashes, strict=True) for x in m.features(keys_of(h, words))]
+
+
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The place of each key; the number of sorted keys for one that isn't there."""
     n = len(sorted_keys)
@@ -96,11 +116,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
+def pair_counts(rows: DataFrame, stream: int) -> DataFrame:
     """(u, v, n0, n1): in how many of the rows' texts v follows u, or ANY, by class."""
 
     def count(batches):
-        hashes, sums = WordHashes(), [[], []]
+        hashes, sums = streams()[stream], [[], []]
         held = 0
 
         def flush():
@@ -113,7 +133,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch), strict=True):
-                words = keys_of(hashes, text)
+                words = keys_of(hashes, ascii_words(text))
                 sums[toxic] += [np.unique((words[:-1] << BITS) | words[1:]), np.unique((np.int64(ANY) << BITS) | words[1:])]
                 held += len(words)
                 if held > FLUSH:
@@ -128,7 +148,22 @@ def array_of(df: DataFrame, *keys: str) -> np.ndarray:
     return df.toPandas().sort_values(list(keys)).to_numpy(dtype=float).reshape(-1, len(df.columns))
 
 
-def fit(docs: DataFrame, labels: DataFrame, of: int, held: int, max_train: int) -> tuple[KneserNey, np.ndarray]:
+def model_of(rows: DataFrame, stream: int) -> KneserNey:
+    """Counts stay in Spark but for what the model keeps: words, contexts and pairs in two documents of a class."""
+    counts, path = stored(pair_counts(rows, stream), "toxic-pairs")
+    pairs = counts.where(F.col("u") != ANY)
+    any_ = F.col("u") == ANY
+    contexts_of = [F.least(F.sum((~any_ & (F.col(c) > 0)).cast("long")), F.sum(F.when(any_, F.col(c)).otherwise(0))) for c in ("n0", "n1")]
+    words = counts.groupBy("v").agg(F.sum((~any_).cast("long")).alias("seen"), contexts_of[0].alias("c0"), contexts_of[1].alias("c1"))
+    totals = np.array([x or 0 for x in words.agg(F.sum("seen"), F.sum("c0"), F.sum("c1"), F.count("*")).first()], float)
+    kept = [F.sum(F.when(F.col(c) >= 2, F.col(c) - DISCOUNT).otherwise(0.0)).alias(k) for c, k in (("n0", "k0"), ("n1", "k1"))]
+    contexts = pairs.groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *kept).where("k0 + k1 > 0")
+    model = KneserNey(array_of(words.where("greatest(c0, c1) >= 2"), "v"), array_of(contexts, "u"), array_of(pairs.where("greatest(n0, n1) >= 2"), "u", "v"), totals)
+    drop(rows.sparkSession, path)
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, of: int, held: int, max_train: int) -> tuple:
     texts = documents(docs)
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -140,37 +175,30 @@ def fit(docs: DataFrame, labels: DataFrame, of: int, held: int, max_train: int)
     rows = texts.join(rows, "doc_id").where("text is not null")
     # copies count once: the smallest id of a text and class stands for them
     first = rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
-    rows = texts.join(first, "doc_id").where("text is not null")
+    rows, path = stored(texts.join(first, "doc_id").where("text is not null"), "toxic-rows")
     # one fold of the learning rows sets the weights, the others the counts
     calibrate = (held + 1) % of
-    counts, path = stored(pair_counts(rows.where(fold("doc_id", of) != calibrate)), "toxic-pairs")
-    pairs = counts.where(F.col("u") != ANY)
-    any_ = F.col("u") == ANY
-    contexts_of = [F.least(F.sum((~any_ & (F.col(c) > 0)).cast("long")), F.sum(F.when(any_, F.col(c)).otherwise(0))) for c in ("n0", "n1")]
-    words = counts.groupBy("v").agg(F.sum((~any_).cast("long")).alias("seen"), contexts_of[0].alias("c0"), contexts_of[1].alias("c1"))
-    totals = np.array([x or 0 for x in words.agg(F.sum("seen"), F.sum("c0"), F.sum("c1"), F.count("*")).first()], float)
-    kept = [F.sum(F.when(F.col(c) >= 2, F.col(c) - DISCOUNT).otherwise(0.0)).alias(k) for c, k in (("n0", "k0"), ("n1", "k1"))]
-    contexts = pairs.groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *kept).where("k0 + k1 > 0")
-    model = KneserNey(array_of(words.where("greatest(c0, c1) >= 2"), "v"), array_of(contexts, "u"), array_of(pairs.where("greatest(n0, n1) >= 2"), "u", "v"), totals)
-    drop(docs.sparkSession, path)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    learn = rows.where(fold("doc_id", of) != calibrate)
+    models = [model_of(learn, k) for k in range(len(streams()))]
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches):
-        hashes = WordHashes()
+        hashes = streams()
         for batch in batches:
-            f = [shared.value.features(keys_of(hashes, t)) for t in texts_of(batch)]
+            f = [features_of(shared.value, hashes, t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_pydict({"f": f, "toxic": batch.column("toxic")}, schema=pa.schema([("f", pa.list_(pa.float64())), ("toxic", pa.int32())]))
 
     seen = rows.where(fold("doc_id", of) == calibrate).select("toxic", "text").mapInArrow(measure, "f array<double>, toxic int").toPandas()
+    drop(docs.sparkSession, path)
     if not len(seen) or seen["toxic"].nunique() < 2:
-        return shared, np.r_[np.zeros(len(WINDOWS)), 1.0, 0.0]
+        return shared, np.r_[np.zeros(2 * len(WINDOWS) + 1), 1.0, 0.0]
     return shared, logistic(np.stack(seen["f"].to_numpy()), seen["toxic"].to_numpy().astype(float))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, of: int = 5, held: int = 0, max_train: int = 20_000) -> DataFrame:
     """Toxicity of every document, learned from labelled rows whose crc32(doc_id) mod ``of`` isn't ``held``.
 
-    The bigram models of toxic and ordinary texts count documents, discount as Kneser and Ney do and back off
+    The bigram models of toxic and ordinary texts, of words and of their first letters, count documents, discount as Kneser and Ney do and back off
     to unigrams of distinct contexts, which back off to contexts of both classes together. A text's features
     are length-normalised log-likelihood differences (its whole, and its most toxic windows), weighed by a
     logistic fit on one fold of the learning rows that the counts don't see. At most ``max_train`` labelled
@@ -184,9 +212,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, of: int = 5, held: int =
     model, weights = fit(docs, labels, of, held, max_train)
 
     def predict(batches):
-        hashes = WordHashes()
+        hashes = streams()
         for batch in batches:
-            f = np.array([model.value.features(keys_of(hashes, t)) for t in texts_of(batch)]).reshape(-1, 1 + len(WINDOWS))
+            f = np.array([features_of(model.value, hashes, t) for t in texts_of(batch)]).reshape(-1, len(weights) - 1)
             score = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=ARROW)
 
