@@ -7,12 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simple8b import encode_tokens
+    from .tokens import tokenizer_path
+
+    return encode_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    from .tokens import tokenizer_path
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -38,7 +52,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [op2_license_scan, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language]
+    found = [op1_token_files, op2_license_scan, op4_packing, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language]
     return {f.__name__: f for f in found}
 
 
