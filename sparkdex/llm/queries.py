@@ -27,6 +27,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -52,7 +58,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [op1_token_files, op2_license_scan, op4_packing, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language]
+    found = [op1_token_files, op2_license_scan, op4_packing, op5_neighbours, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language]
     return {f.__name__: f for f in found}
 
 
