@@ -57,8 +57,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    found = [op1_token_files, op2_license_scan, op4_packing, op5_neighbours, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language]
+    found = [op1_token_files, op2_license_scan, op4_packing, op5_neighbours, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
