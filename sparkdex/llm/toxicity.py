@@ -43,9 +43,33 @@ def keys_of(hashes: WordHashes, words: list[bytes]) -> np.ndarray:
     return np.r_[np.int64(START), (hashes.of(words) >> np.uint64(64 - BITS)).astype(np.int64)]
 
 
-def features_of(models: list[KneserNey], hashes, text: bytes | None) -> list[float]:
+class Places(dict):
+    """Word -> its place in a model's vocabulary, remembered for a bounded number of words."""
+
+    def __init__(self, model, hashes: WordHashes):
+        super().__init__()
+        self.model, self.hashes = model, hashes
+        self.start = int(find(model.vocabulary, np.array([START]))[0])
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WordHashes.LIMIT:
+            self.clear()
+        key = type(self.hashes).__missing__(self.hashes, word) >> (64 - BITS)
+        self.hashes.clear()
+        at = int(np.searchsorted(self.model.vocabulary, key))
+        if at == len(self.model.vocabulary) or self.model.vocabulary[at] != key:
+            at = len(self.model.vocabulary)
+        self[word] = at
+        return at
+
+
+def lookups(models) -> list[Places]:
+    return [Places(m, h) for m, h in zip(models, streams(), strict=True)]
+
+
+def features_of(places: list[Places], text: bytes | None) -> list[float]:
     words = ascii_words(text)
-    return [x for m, h in zip(models, hashes, strict=True) for x in m.features(keys_of(h, words))]
+    return [x for p in places for x in p.model.features(np.fromiter((p.start, *map(p.__getitem__, words)), np.int64, len(words) + 1))]
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -71,22 +95,36 @@ class KneserNey:
         """words: key, contexts in either class, in class 0, in class 1. contexts: key, documents in class 0 and 1,
         kept in class 0 and 1. pairs: u, v, documents in class 0 and 1. totals: sums of the words' columns, and
         their number, over all words. Each sorted by key."""
-        self.words, self.contexts, self.pairs = words[:, 0].astype(np.int64), contexts[:, 0].astype(np.int64), (pairs[:, 0].astype(np.int64) << BITS) | pairs[:, 1].astype(np.int64)
-        kept = [np.maximum(words[:, 2 + c] - DISCOUNT, 0) / max(totals[1 + c], 1.0) for c in (0, 1)]
+        wk, ck = words[:, 0].astype(np.int64), contexts[:, 0].astype(np.int64)
+        self.vocabulary = np.union1d(wk, ck)
+        n = len(self.vocabulary)
+        seen = np.zeros((n + 1, 3))  # the last stands for every word that isn't kept
+        seen[find(self.vocabulary, wk)] = words[:, 1:4]
+        kept = [np.maximum(seen[:, 1 + c] - DISCOUNT, 0) / max(totals[1 + c], 1.0) for c in (0, 1)]
         rest = max(1 - k.sum() for k in kept)
-        shared = rest * (np.r_[words[:, 1], 0] + PRIOR) / (totals[0] + PRIOR * (totals[3] + 1))
-        self.unigram = [np.r_[k, 0.0] + shared for k in kept]
-        context = np.maximum(contexts[:, 1] + contexts[:, 2], 1)
-        self.give = np.r_[np.clip(1 - np.maximum(contexts[:, 3], contexts[:, 4]) / context, 1e-6, 1), 1.0]
-        context = np.r_[context, 1][find(self.contexts, pairs[:, 0].astype(np.int64))]
-        n = pairs[:, 2:]
+        shared = rest * (seen[:, 0] + PRIOR) / (totals[0] + PRIOR * (totals[3] + 1))
+        self.unigram = [k + shared for k in kept]
+        at = find(self.vocabulary, ck)
+        context = np.ones(n + 1)
+        context[at] = np.maximum(contexts[:, 1] + contexts[:, 2], 1)
+        self.give = np.ones(n + 1)
+        self.give[at] = np.clip(1 - np.maximum(contexts[:, 3], contexts[:, 4]) / context[at], 1e-6, 1)
+        u, v = (find(self.vocabulary, pairs[:, k].astype(np.int64)) for k in (0, 1))
+        both = (u < n) & (v < n)
+        counts, u, v = pairs[both, 2:], u[both], v[both]
         share = np.maximum(totals[1:3], 1) / max(totals[1:3].sum(), 1)
-        self.bigram = [np.r_[(np.maximum(n[:, c] - DISCOUNT, 0) / share[c] + n.sum(axis=1) + PRIOR) / context, 0.0] for c in (0, 1)]
+        order = np.argsort(u * (n + 1) + v)
+        self.pairs = (u * (n + 1) + v)[order]
+        self.bigram = [np.r_[((np.maximum(counts[:, c] - DISCOUNT, 0) / share[c] + counts.sum(axis=1) + PRIOR) / context[u])[order], 0.0] for c in (0, 1)]
 
     def ratios(self, words: np.ndarray) -> np.ndarray:
-        u, v = words[:-1], words[1:]
-        word, pair, give = find(self.words, v), find(self.pairs, (u << BITS) | v), self.give[find(self.contexts, u)]
-        p = [self.bigram[c][pair] + give * self.unigram[c][word] for c in (0, 1)]
+        """words: places in the vocabulary, after the start's."""
+        u, v, n = words[:-1], words[1:], len(self.vocabulary)
+        p = [self.give[u] * self.unigram[c][v] for c in (0, 1)]
+        known = np.flatnonzero((u < n) & (v < n))
+        pair = find(self.pairs, u[known] * (n + 1) + v[known])
+        for c in (0, 1):
+            p[c][known] += self.bigram[c][pair]
         return np.log(p[1] / p[0])
 
     def features(self, words: np.ndarray) -> list[float]:
@@ -172,10 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, of: int, held: int, max_train: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(max_train)
     )
-    rows = texts.join(rows, "doc_id").where("text is not null")
+    # max_train bounds what is broadcast here
+    rows = texts.join(F.broadcast(rows), "doc_id").where("text is not null")
     # copies count once: the smallest id of a text and class stands for them
     first = rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
-    rows, path = stored(texts.join(first, "doc_id").where("text is not null"), "toxic-rows")
+    rows, path = stored(texts.join(F.broadcast(first), "doc_id").where("text is not null"), "toxic-rows")
     # one fold of the learning rows sets the weights, the others the counts
     calibrate = (held + 1) % of
     learn = rows.where(fold("doc_id", of) != calibrate)
@@ -183,9 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, of: int, held: int, max_train: int)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches):
-        hashes = streams()
+        places = lookups(shared.value)
         for batch in batches:
-            f = [features_of(shared.value, hashes, t) for t in texts_of(batch)]
+            f = [features_of(places, t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_pydict({"f": f, "toxic": batch.column("toxic")}, schema=pa.schema([("f", pa.list_(pa.float64())), ("toxic", pa.int32())]))
 
     seen = rows.where(fold("doc_id", of) == calibrate).select("toxic", "text").mapInArrow(measure, "f array<double>, toxic int").toPandas()
@@ -212,9 +251,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, of: int = 5, held: int =
     model, weights = fit(docs, labels, of, held, max_train)
 
     def predict(batches):
-        hashes = streams()
+        places = lookups(model.value)
         for batch in batches:
-            f = np.array([features_of(model.value, hashes, t) for t in texts_of(batch)]).reshape(-1, len(weights) - 1)
+            f = np.array([features_of(places, t) for t in texts_of(batch)]).reshape(-1, len(weights) - 1)
             score = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=ARROW)
 
