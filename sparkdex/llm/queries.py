@@ -20,6 +20,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     from .tokens import tokenizer_path
@@ -64,7 +70,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [op1_token_files, op2_license_scan, op4_packing, op5_neighbours, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language, op10_jaccard_join]
+    found = [op1_token_files, op2_license_scan, op3_substrings, op4_packing, op5_neighbours, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
