@@ -7,9 +7,13 @@ import re
 
 import numpy as np
 
-#: White space other than the space and the line feed; a text that holds any is encoded in one piece.
-UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-SPACED = re.compile("[ \n]*[^ \n]+")
+#: Letters and numbers among the characters of common texts: ASCII, and U+00A1 to U+017F without U+0130 (whose
+#: lower case is two characters). In these no normal form, and no version of Unicode, makes a difference.
+L, N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+UNCOMMON = re.compile("[^\n\x20-\x7e\xa1-įı-ſ]")
+#: The two vocabularies' pre-tokens over those characters; alternatives that can't begin alike may change places.
+SPACE_LEADS = re.compile(rf" ?[{L}]+| ?[{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{L}{N}]+|\s+(?!\S)|\s+")
+SPACE_DROPS = re.compile(rf"[{L}]+|'(?:s|t|re|ve|m|ll|d)|[{N}]|[^\s{L}{N}]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,31 +22,46 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: its own if that is visible, else the next
+    free one from U+0100."""
+    table, free = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            table[b] = chr(b)
+        else:
+            table[b] = chr(free)
+            free += 1
+    return table
+
+
 class PieceEncoder(dict):
-    """Text -> ids as little-endian unsigned 16-bit bytes.
+    """Text -> ids as unsigned 16-bit numbers (both kinds of vocabulary have less than 2**16 ids).
 
-    Neither a merge nor a pre-token crosses from a non-space to a space or line feed, so a text's ids are those
-    of its pieces one after the other; a piece's ids are remembered, for a bounded number of pieces. Both kinds
-    of vocabulary have less than 2**16 ids. Special tokens' strings are ordinary text.
+    A text of common characters is cut into pre-tokens here and each is merged by the tokenizer's model; what a
+    pre-token came to is remembered, for a bounded number of them. Any other text goes through the whole
+    tokenizer. Special tokens' strings are ordinary text.
     """
 
     LIMIT = 500_000
     LONG = 64
 
     def __init__(self, path: str, drops_space: bool):
-        """drops_space: white space belongs to no token, so pieces are words; else it leads its piece."""
+        """drops_space: the vocabulary of words (lower case, white space in no token), else the byte-level one."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits are asked for")
-        self.drops_space = drops_space
+        self.drops_space, self.letters = drops_space, byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+        written = piece.encode().decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.merge(written)], "<u2").tobytes()
         if len(piece) <= self.LONG:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -51,16 +70,10 @@ class PieceEncoder(dict):
 
     def ids(self, text: str | None, end: int) -> np.ndarray:
         """The text's ids and the end id."""
-        tail = np.array([end], "<u2").tobytes()
+        tail = np.array([end], "<u2")
         if not text:
-            return np.frombuffer(tail, "<u2")
-        if UNUSUAL.search(text):
-            pieces = [text]
-        elif self.drops_space:
-            pieces = text.split()
-        else:
-            pieces = SPACED.findall(text)
-            kept = len(text.rstrip(" \n"))
-            if kept < len(text):
-                pieces.append(text[kept:])
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)) + tail, "<u2")
+            return tail
+        if UNCOMMON.search(text):
+            return np.r_[np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2"), tail]
+        pieces = SPACE_DROPS.findall(text.lower()) if self.drops_space else SPACE_LEADS.findall(text)
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)) + tail.tobytes(), "<u2")
