@@ -69,8 +69,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    found = [op1_token_files, op2_license_scan, op3_substrings, op4_packing, op5_neighbours, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language, op10_jaccard_join]
+    found = [op1_token_files, op2_license_scan, op3_substrings, op4_packing, op5_neighbours, op6_toxicity, op7_secret_scan, op8_decontaminate, op9_language, op10_jaccard_join, pipeline]
     return {f.__name__: f for f in found}
 
 

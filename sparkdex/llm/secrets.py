@@ -6,8 +6,10 @@ import bisect
 import hashlib
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import documents
 
@@ -119,11 +121,21 @@ def secret_scan(docs: DataFrame, reach: int = 400) -> DataFrame:
     return documents(docs).mapInArrow(scan, SCHEMA)
 
 
-def redacted(text: str, spans: str, mark: str = "[SECRET]") -> str:
-    """The text with its spans (as ``secret_scan`` renders them) replaced; overlapping spans become one."""
-    out, at = [], 0
-    for a, b in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans.split(",") if x):
+def redacted(text: str, spans, mark: str = "[SECRET]") -> str:
+    """The text with its (start, end, kind) spans replaced; overlapping spans become one."""
+    out, at, open_ = [], 0, 0
+    for a, b, _ in sorted(spans):
         if a >= at:
-            out += [text[at:a], mark]
-        at = max(at, b)
-    return "".join(out) + text[at:]
+            out += [text[open_:a], mark]
+        at = open_ = max(at, b)
+    return "".join(out) + text[open_:]
+
+
+def redacted_text(text, reach: int = 400):
+    """A string column with every span that ``secret_scan`` reports replaced; null stays null."""
+
+    @F.pandas_udf("string")
+    def redact(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else redacted(t, spans) if (spans := scan_text(t, reach)[1]) else t)
+
+    return redact(text)
