@@ -19,20 +19,23 @@ SHARE, LEAST = 0.12, 300
 #: Vectors whose estimated cosine is as high are candidates whatever their number.
 NEAR = 0.45
 BLOCK_ROWS = 8192
+QUERIES = 256
+STRIPE = 1024
 QUERY_BYTES = 16 << 20
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of every row, scaled to a rotation."""
-    n, d = x.shape
+def hadamard(x: np.ndarray) -> None:
+    """The fast Walsh-Hadamard transform of every column, in place, scaled to a rotation."""
+    d, n = x.shape
     h = 1
     while h < d:
-        x = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2)
+        y = x.reshape(d // (2 * h), 2, h, n)
+        low = y[:, 0] - y[:, 1]
+        y[:, 0] += y[:, 1]
+        y[:, 1] = low
         h *= 2
-        x = x.reshape(n, d)
-    return x / np.sqrt(d)
+    x *= np.float32(1 / np.sqrt(d))
 
 
 def rotations(dim: int, seed: int = 1) -> np.ndarray:
@@ -42,11 +45,12 @@ def rotations(dim: int, seed: int = 1) -> np.ndarray:
 
 
 def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """One table's pseudo-rotation of float32 rows, padded with zeros to a power of two."""
-    y = np.zeros((len(x), signs.shape[1]), np.float32)
-    y[:, : x.shape[1]] = x
+    """One table's pseudo-rotation of float32 columns, padded with zeros to a power of two."""
+    y = np.zeros((signs.shape[1], x.shape[1]), np.float32)
+    y[: len(x)] = x
     for s in signs:
-        y = hadamard(y * s)
+        y *= s[:, None]
+        hadamard(y)
     return y
 
 
@@ -65,37 +69,50 @@ def usable(column: str):
     return c.isNotNull() & finite & F.exists(c, lambda v: v != 0)
 
 
-def search_block(queries: np.ndarray, probes: np.ndarray, vectors: np.ndarray, largest: float, signs: np.ndarray, k: int, query_ids: np.ndarray, ids: np.ndarray):
-    """Places of queries, of vectors and the exact scores of each query's k best candidates of the block."""
+def assigned(filled: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Each table's axis of every vector (twice its number, plus one for the negative side), and the mean over all
+    of the sum of their coordinates there."""
+    n = len(filled)
+    axes, level = np.empty((TABLES, n), np.int64), 0.0
+    for first in range(0, n, STRIPE):
+        part = np.ascontiguousarray(filled[first : first + STRIPE].T)
+        for t in range(TABLES):
+            y = rotated(part, signs[t])
+            best = np.abs(y).argmax(axis=0)
+            at = y[best, np.arange(y.shape[1])]
+            axes[t, first : first + STRIPE] = best * 2 + (at < 0)
+            level += float(np.abs(at).sum())
+    return axes, level / n
+
+
+def search_block(queries: np.ndarray, vectors: np.ndarray, largest: float, signs: np.ndarray, k: int, query_ids: np.ndarray, ids: np.ndarray):
+    """Places of queries, of vectors and the scores of each query's k best candidates of the block."""
     n = len(vectors)
-    filled = unit(vectors, largest)
-    axes = np.empty((TABLES, n), np.int64)
-    level = 0.0
-    for t in range(TABLES):
-        y = rotated(filled, signs[t])
-        best = np.abs(y).argmax(axis=1)
-        at = y[np.arange(n), best]
-        axes[t] = best * 2 + (at < 0)
-        level += float(np.abs(at).mean())
+    axes, level = assigned(unit(vectors, largest), signs)
+    directions = np.ascontiguousarray(unit(queries, None).T)
     budget = min(n, max(LEAST, int(SHARE * n)))
     out = []
-    for q in range(len(queries)):
-        worth = probes[q, 0][axes[0]]
-        for t in range(1, TABLES):
-            worth = worth + probes[q, t][axes[t]]
-        if budget < n:
-            bar = min(float(np.partition(worth, n - budget)[n - budget]), NEAR * level)
-            found = np.flatnonzero(worth >= bar)
-        else:
-            found = np.arange(n)
-        found = found[ids[found] != query_ids[q]]
-        score = vectors[found] @ queries[q]
-        if len(found) > k:
-            bar = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= bar
-            found, score = found[keep], score[keep]
-        order = np.lexsort((ids[found], -score))[:k]
-        out.append((np.full(len(order), q), found[order], score[order]))
+    for first in range(0, len(queries), QUERIES):
+        rows = range(first, min(len(queries), first + QUERIES))
+        # a row of worths for each vector: tables are looked up for all queries of the batch at once
+        worth = np.zeros((n, len(rows)), np.float32)
+        for t in range(TABLES):
+            y = rotated(directions[:, rows.start : rows.stop], signs[t])
+            probes = np.empty((2 * len(y), len(rows)), np.float32)
+            probes[0::2], probes[1::2] = y, -y
+            worth += probes[axes[t]]
+        worth = np.ascontiguousarray(worth.T)
+        bars = np.partition(worth, n - budget, axis=1)[:, n - budget]
+        for q, own, bar in zip(rows, worth, np.minimum(bars, NEAR * level), strict=True):
+            found = np.flatnonzero(own >= bar)
+            found = found[ids[found] != query_ids[q]]
+            score = vectors[found] @ queries[q]
+            if len(found) > k:
+                bar = np.partition(score, len(score) - k)[len(score) - k]
+                keep = score >= bar
+                found, score = found[keep], score[keep]
+            order = np.lexsort((ids[found], -score))[:k]
+            out.append((np.full(len(order), q), found[order], score[order]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -123,8 +140,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     dim, is_query = sizes.d, F.pmod(F.col("vec_id"), F.lit(every)) == 0
     rows = rows.where(F.size("v") == dim)
     largest, n_queries = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), F.sum(is_query.cast("long"))).first()
-    width = 1 << max(1, dim.bit_length())
-    blocks = max(1, -(-(n_queries or 0) * (dim * 8 + TABLES * width * 8) // QUERY_BYTES))
+    blocks = max(1, -(-(n_queries or 0) * dim * 8 // QUERY_BYTES))
     signs = rotations(dim + 1)
     found = None
     for b in range(blocks):
@@ -152,14 +168,9 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def searcher(shared, largest: float, signs: np.ndarray, k: int):
     def search(batches):
         query_ids, queries = shared.value
-        filled = unit(queries, None)
-        probes = np.empty((len(queries), TABLES, 2 * signs.shape[2]), np.float32)
-        for t in range(TABLES):
-            y = rotated(filled, signs[t])
-            probes[:, t, 0::2], probes[:, t, 1::2] = y, -y
 
         def run(ids, vectors):
-            q, v, _ = search_block(queries, probes, vectors, largest, signs, k, query_ids, ids)
+            q, v, _ = search_block(queries, vectors, largest, signs, k, query_ids, ids)
             score = np.zeros(len(q))
             for j in range(queries.shape[1]):  # in order, so that a score doesn't depend on the block's shape
                 score += queries[q, j] * vectors[v, j]
