@@ -5,8 +5,8 @@
 2. A global order sorts shingles by the magnitude of their count, rare first, then by a hash of its own. For a
    similarity t, a set of n shares one of its first n - ceil(t n) + 1 shingles with every set it links to,
    under each order.
-3. Leaders: the sets with one and the same minimal hash are compared with the smallest of them, for a few
-   hashes. That joins most of a group of near copies without its pairs.
+3. Leaders: the sets with one and the same first shingle under an order are compared with the smallest of them,
+   for a few more orders. That joins most of a group of near copies without its pairs.
 4. The rest, exactly: the sets that share a prefix shingle under the first order and aren't in one component yet
    are candidates; length and position filters, and a shared prefix shingle under every other order, come before
    the sets themselves are compared. Components of all links follow.
@@ -30,6 +30,7 @@ COUNTERS = 1 << 20
 ORDERS = 3
 LEADERS = 4
 FANIN = 32
+RANGES = 4
 SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(ORDERS + LEADERS)], np.uint64)
 
 
@@ -102,10 +103,23 @@ def magnitudes(total: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(total / max(1.0, total.mean()), 1.0)).astype(np.uint8)
 
 
+def keyed(s: np.ndarray, magnitude: np.ndarray, order: int) -> np.ndarray:
+    """The shingles' places in a global order, as comparable numbers."""
+    rare = magnitude[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+    return rare | (mix(s ^ SEEDS[order]) >> np.uint64(6))
+
+
+def prefix(s: np.ndarray, key: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set under an order, first shingle first."""
+    m = len(s) - need(len(s), percent) + 1
+    first = np.argpartition(key, m - 1)[:m] if m < len(s) else np.arange(len(s))
+    return s[first[np.argsort(key[first])]]
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, words_of: Callable, shared) -> DataFrame:
-    """Of every document: its prefix shingles under each order, and its minimal hashes."""
-    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * ORDERS, *[pa.int64()] * LEADERS]
-    names = ["doc", "size", *(f"p{k}" for k in range(ORDERS)), *(f"h{k}" for k in range(LEADERS))]
+    """Of every document with shingles: its prefix under the first order, and its first shingle under others."""
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * LEADERS]
+    names = ["doc", "size", "tokens", *(f"h{k}" for k in range(LEADERS))]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches):
@@ -116,57 +130,43 @@ def prefixes(docs: DataFrame, n: int, percent: int, words_of: Callable, shared)
                 s = shingles(hashes, words_of(text), n)
                 if not len(s):
                     continue
-                rare = magnitude[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-                m = len(s) - need(len(s), percent) + 1
-                row = [doc, len(s)]
-                for k in range(ORDERS):
-                    key = rare | (mix(s ^ SEEDS[k]) >> np.uint64(6))
-                    first = np.argpartition(key, m - 1)[:m]
-                    # the later orders are only asked whether two prefixes meet: 32 bits of a shingle do
-                    row.append(s[first[np.argsort(key[first])]].view(np.int64) if k == 0 else (s[first] >> np.uint64(32)).astype(np.int64))
-                for k in range(LEADERS):
-                    row.append(int(mix(s ^ SEEDS[ORDERS + k]).min().view(np.int64)))
+                row = [doc, len(s), prefix(s, keyed(s, magnitude, 0), percent).view(np.int64)]
+                row += [int(s[keyed(s, magnitude, ORDERS + k).argmin()].view(np.int64)) for k in range(LEADERS)]
                 for c, x in zip(columns, row, strict=True):
                     c.append(x)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema=schema)
 
-    ddl = ", ".join(["doc long", "size long", *(f"p{k} array<long>" for k in range(ORDERS)), *(f"h{k} long" for k in range(LEADERS))])
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, ", ".join(["doc long", "size long", "tokens array<long>", *(f"h{k} long" for k in range(LEADERS))]))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, words_of: Callable) -> tuple[DataFrame, list[str]]:
-    """Those of the pairs (a, b) whose sets link. Only texts of documents in pairs are kept for it."""
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, words_of: Callable, shared) -> tuple[DataFrame, str]:
+    """Those of the pairs (a, b) whose sets link, and the table's path: first their prefixes must meet under every
+    other order, then the sets are compared. Only texts of documents in pairs are kept for it."""
     pairs, pairs_path = stored(pairs, "pairs")
     there = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts, texts_path = stored(docs.join(there, "doc_id", "left_semi"), "pair-texts")
+    free_shuffles(docs.sparkSession)
 
     def run(batches):
-        hashes, last, s = WordHashes(), None, None
+        hashes, magnitude, last, s, own = WordHashes(), shared.value, None, None, None
         for batch in batches:
             keep = []
             for a, x, y in zip(batch.column("a").to_pylist(), texts_of(batch, "x"), texts_of(batch, "y"), strict=True):
-                if a != last:
-                    last, s = a, shingles(hashes, words_of(x), n)
+                if (a, x) != last:
+                    last, s = (a, x), shingles(hashes, words_of(x), n)
+                    own = [prefix(s, keyed(s, magnitude, k), percent) for k in range(1, ORDERS)] if len(s) else []
                 t = shingles(hashes, words_of(y), n)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                meet = len(s) and len(t) and all(np.isin(prefix(t, keyed(t, magnitude, k), percent), p).any() for k, p in enumerate(own, 1))
+                both = len(np.intersect1d(s, t, assume_unique=True)) if meet else 0
+                keep.append(bool(meet) and 100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     links, links_path = stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
     drop(docs.sparkSession, pairs_path, texts_path)
-    return links, [links_path]
-
-
-def filtered(pairs: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the length filter and share a prefix shingle under each of the orders."""
-    left = sets.select(F.col("doc").alias("a"), F.col("size").alias("size_a"), *(F.col(f"p{k}").alias(f"a{k}") for k in orders))
-    right = sets.select(F.col("doc").alias("b"), F.col("size").alias("size_b"), *(F.col(f"p{k}").alias(f"b{k}") for k in orders))
-    found = pairs.join(left, "a").join(right, "b").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    for k in orders:
-        found = found.where(F.arrays_overlap(f"a{k}", f"b{k}"))
-    return found.select("a", "b")
+    free_shuffles(docs.sparkSession)
+    return links, links_path
 
 
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Callable = space_words) -> DataFrame:
@@ -186,40 +186,44 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Cal
     keys = ["k1", "k2", "size"]
     classes, classes_path = stored(rows.where("size > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     known = texts.where("doc_id is not null")
-    reps = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets, sets_path = stored(prefixes(reps, n, percent, words_of, shared), "prefixes")
+    reps = classes.select(F.col("rep").alias("doc")).distinct()
+    every, every_path = stored(prefixes(known, n, percent, words_of, shared), "prefixes")
+    sets, sets_path = stored(every.join(reps, "doc", "left_semi"), "prefixes")
+    drop(spark, every_path)
     free_shuffles(spark)
 
-    stars = None
+    stars, long_enough = None, 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
     for k in range(LEADERS):
-        leaders = sets.groupBy(f"h{k}").agg(F.min("doc").alias("b"))
-        own = sets.select(f"h{k}", F.col("doc").alias("a")).join(leaders, f"h{k}").where("a != b").select("a", "b")
+        leaders = sets.groupBy(f"h{k}").agg(F.min(F.struct("doc", "size")).alias("l")).select(f"h{k}", F.col("l.doc").alias("b"), F.col("l.size").alias("size_b"))
+        own = sets.select(f"h{k}", F.col("doc").alias("a"), "size").join(leaders, f"h{k}").where((F.col("a") != F.col("b")) & long_enough).select("a", "b")
         stars = own if stars is None else stars.unionByName(own)
-    links, links_paths = verified(filtered(stars.distinct(), sets, range(ORDERS), percent), known, n, percent, words_of)
+    links, links_path = verified(stars.distinct(), known, n, percent, words_of, shared)
     # a doc_id with several texts joins their classes
-    same = rows.where("size > 0 and doc_id is not null").select("doc_id", *keys).distinct().join(classes, keys).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    twice = rows.where("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct(*keys).alias("n")).where("n > 1")
-    links = links.unionByName(same.join(twice.select(F.col("doc_id").alias("a")), "a", "left_semi"))
-    found, found_path = components(links)
-    free_shuffles(spark)
-
-    tokens = sets.select("doc", "size", F.posexplode("p0").alias("pos", "token"))
-    tokens = tokens.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"), F.col("size").cast("int"), "pos")
-    mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    open_, open_path = stored(tokens.join(mixed, "token", "left_semi"), "open-tokens")
-    free_shuffles(spark)
+    linked = rows.where("size > 0 and doc_id is not null").select("doc_id", *keys).distinct()
+    twice = linked.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    same = linked.join(twice, "doc_id", "left_semi").join(classes, keys).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found, found_path = components(links.unionByName(same))
+
+    opened = []
+    for r in range(RANGES):  # one range of tokens at a time
+        tokens = sets.select("doc", "size", F.posexplode("tokens").alias("pos", "token")).where(F.pmod("token", F.lit(RANGES)) == r)
+        tokens = tokens.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"), F.col("size").cast("int"), "pos")
+        mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+        opened.append(stored(tokens.join(mixed, "token", "left_semi"), "open-tokens"))
+        free_shuffles(spark)
+    open_ = opened[0][0]
+    for more, _ in opened[1:]:
+        open_ = open_.unionByName(more)
     left = open_.select("token", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
     right = open_.select("token", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
     # a shared token at places pa and pb: what stands before and after it in either set bounds the intersection
     overlap = F.ceil(F.lit(percent) * (F.col("sa") + F.col("sb")) / F.lit(100 + percent))
     pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
     pairs = pairs.where((100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")) & (F.least("pa", "pb") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= overlap))
-    rest, rest_paths = verified(filtered(pairs.select("a", "b").distinct(), sets, range(1, ORDERS), percent), known, n, percent, words_of)
-    free_shuffles(spark)
+    rest, rest_path = verified(pairs.select("a", "b").distinct(), known, n, percent, words_of, shared)
     final, final_path = components(rest.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(spark, sets_path, open_path, found_path, *links_paths, *rest_paths)
+    drop(spark, sets_path, found_path, links_path, rest_path, *(p for _, p in opened))
     free_shuffles(spark)
 
     groups = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("root", "rep").alias("root"))
-    out = rows.join(groups, keys, "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
-    return out
+    return rows.join(groups, keys, "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
