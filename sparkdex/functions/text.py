@@ -159,6 +159,9 @@ def binary_bytes(data: bytes) -> bool:
     return control * 100 > len(head) * 30
 
 
-@F.pandas_udf("boolean")
-def is_binary(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: b is not None and binary_bytes(bytes(b)))
+def is_binary(data: str) -> Column:
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: b is not None and binary_bytes(bytes(b)))
+
+    return test(F.col(data))

@@ -13,7 +13,7 @@ from ..sources.tables import documents, table
 from . import search as S
 from .query import parse
 
-ONE, TWO, PHRASE, THREE, REPEATED = "que", "que la", '"que la"', '"of the and"', '"the the"'
+ONE, TWO, PHRASE, THREE = "que", "que la", '"que la"', '"la que la"'
 SEGMENT_DOCS = 256
 
 
@@ -179,7 +179,7 @@ def watch_plan(spark, sf_dir):
 
 
 def _cache(spark, sf_dir):
-    rows, k = documents(spark, sf_dir), F.crc32("doc_id") % 3
+    rows, k = documents(spark, sf_dir), F.substring("doc_id", -5, 1).cast("int") % 3
     cache = rows.select("doc_id", F.when(k == 0, F.lit("stale")).otherwise(F.col("content_hash")).alias("content_hash"))
     return rows.select("doc_id", "content_hash"), cache
 
@@ -293,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
         f"lambda x: length(x) >= 2 AND x NOT IN ({', '.join(repr(x) for x in T.STOPWORDS)}))) AS term FROM lengths WHERE source = 'src1')"
     )
     scan = "SELECT concat('f', doc_id) AS rel, n_chars + {grow} AS size, doc_id * 1000 AS mtime FROM documents WHERE doc_id % 10 <> {gone}"
-    cache = "cache AS (SELECT doc_id, body, sha256(body) AS content_hash FROM docs)"
+    cache = "cache AS (SELECT doc_id, n, sha256(body) AS content_hash FROM docs)"
     found = {
         "tokens": w + "SELECT doc_id, pos, term FROM toks",
         "token_counts": w + "SELECT doc_id, length AS n_tokens FROM lengths",
@@ -325,9 +325,10 @@ def oracle_sql() -> dict[str, str]:
         "kind_language": f"SELECT page_id, CASE WHEN {ext} = '.md' THEN 'markdown' WHEN {ext} = '.rst' THEN 'text' WHEN {ext} IN ('.bin', '') THEN 'other' ELSE 'source' END AS kind, CASE {ext} WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.sql' THEN 'sql' WHEN '.html' THEN 'html' ELSE '' END AS language FROM pages",
         "path_parts": w + "SELECT doc_id, concat(lang, '/', source) AS dir, '.txt' AS ext, concat(lpad(CAST(n AS VARCHAR), 12, '0'), '.txt') AS base FROM docs",
         "watch_plan": f"WITH a AS ({scan.format(grow=0, gone=3)}), b AS ({scan.format(grow='CASE WHEN doc_id % 10 = 2 THEN 1 ELSE 0 END', gone=1)}) SELECT coalesce(a.rel, b.rel) AS rel, CASE WHEN a.rel IS NULL THEN 'added' WHEN b.rel IS NULL THEN 'removed' ELSE 'modified' END AS kind FROM a FULL JOIN b ON a.rel = b.rel WHERE a.rel IS NULL OR b.rel IS NULL OR a.size IS DISTINCT FROM b.size OR a.mtime IS DISTINCT FROM b.mtime",
-        "cache_prune": None,
+        "cache_hits": w + f", {cache} SELECT doc_id, content_hash FROM cache WHERE n % 10 % 3 <> 0",
+        "cache_misses": w + f", {cache} SELECT doc_id, content_hash FROM cache WHERE n % 10 % 3 = 0",
+        "cache_prune": w + f", {cache} SELECT doc_id, CASE WHEN n % 10 % 3 = 0 THEN 'stale' ELSE content_hash END AS content_hash FROM cache WHERE doc_id LIKE 'en/%'",
         "top_per_source": w + "SELECT source, doc_id, length, place FROM (SELECT source, doc_id, length, CAST(row_number() OVER (PARTITION BY source ORDER BY length DESC, doc_id) AS INTEGER) AS place FROM lengths) WHERE place <= 3",
     }
-    del found["cache_prune"]
     found |= {k: _hits_sql(*v) + "SELECT doc_id, freq FROM hits" for k, v in HITS.items()}
     return found | {k: _ranked_sql(*v) for k, v in RANKED.items()}
