@@ -74,7 +74,7 @@ def linked(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], b
             continue  # a base span says it already
         p = bisect.bisect_right(breaks, a)
         low = max(a - reach, breaks[p - 1] if p else 0)
-        high = min(b + reach, breaks[p] if p < len(breaks) else b + reach)
+        high = min(b + reach, breaks[p] - 1 if p < len(breaks) else b + reach)
         for other in ("id",) if PART[kind] == "secret" else ("secret",):
             i = bisect.bisect_left(starts[other], low)
             if i < len(starts[other]) and starts[other][i] <= high:
