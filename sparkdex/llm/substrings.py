@@ -30,9 +30,10 @@ WIDTH, ANCHOR = 50, 32
 STEP = WIDTH - ANCHOR + 1
 TMER = 13
 TMERS = WIDTH - TMER + 1
-CHUNK = 1 << 19
+CHUNK = 1 << 15
 SIDE = WIDTH - ANCHOR
-BUCKET_RANGES = 4
+BUCKET_RANGES = 3
+HIGH = np.uint64((1 << 64) - (1 << 24))
 BASE = 0x9E3779B97F4A7C15 | 1
 VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
@@ -65,28 +66,32 @@ class Hashes:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(VALUES[data] * up[: len(data)], out=self.sums[1:])
 
-    def all(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
-
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
 def samples(h: Hashes) -> np.ndarray:
     """Of every window, where its sample is."""
-    t = h.all(TMER)
-    packed = ((t >> np.uint64(24)) << np.uint64(24)) | np.arange(len(t), dtype=np.uint64)
+    n = len(h.sums) - TMER
+    t = h.sums[TMER:] - h.sums[:n]
+    t *= h.down[:n]
+    t &= HIGH  # the high bits of such a sum depend on all its bytes
+    places = np.arange(n, dtype=np.uint64)
+    t |= places
     width = 1
     while width * 2 <= TMERS:
-        packed = np.minimum(packed[:-width], packed[width:])
+        np.minimum(t[: n - width], t[width:n], out=t[: n - width])
+        n -= width
         width *= 2
-    if TMERS > width:
-        rest = TMERS - width
-        packed = np.minimum(packed[: len(packed) - rest], packed[rest:])
-    at = (packed & np.uint64((1 << 24) - 1)).astype(np.int64)
-    i = np.arange(len(at))
-    return i + (at - i) % STEP
+    rest = TMERS - width
+    at = np.minimum(t[: n - rest], t[rest:n])
+    at &= ~HIGH
+    at = at.view(np.int64)
+    i = places[: len(at)].view(np.int64)
+    at -= i
+    at %= STEP
+    at += i
+    return at
 
 
 def segments(texts: list[bytes | None]):
@@ -118,26 +123,25 @@ def sampled(texts: list[bytes | None]):
         h = Hashes(data)
         at = samples(h)
         own = np.full(len(at), -1, np.int64)
-        doc, shift, first, last = (np.zeros(len(data), np.int64) for _ in range(4))
-        base = 0
+        base, bounds = 0, []
         for d, low, part, a, b in held:
             own[base + a - low : base + b - low] = at[base + a - low : base + b - low]
-            span = slice(base, base + len(part))
-            doc[span], shift[span] = d, low - base
-            first[span], last[span] = base - low, base - low + len(texts[d])
+            bounds.append((base, d, low - base, base - low, base - low + len(texts[d])))
             base += len(part)
+        starts, docs, shifts, firsts, lasts = np.array(bounds).T
         marked = np.zeros(len(data), bool)
         marked[own[own >= 0]] = True
         p = np.flatnonzero(marked)
+        part = np.searchsorted(starts, p, "right") - 1
         mask = np.zeros(len(p), np.int64)
         for j in range(STEP):
             i = p - j
             ok = (i >= 0) & (i < len(own))
             mask[ok] |= (own[i[ok]] == p[ok]).astype(np.int64) << j
-        low, high = np.maximum(p - SIDE, first[p]), np.minimum(p + WIDTH, last[p])
+        low, high = np.maximum(p - SIDE, firsts[part]), np.minimum(p + WIDTH, lasts[part])
         bucket = h.at(p, p + ANCHOR)
         around = mix(h.at(low, high) + ((p - low) * 64 + (high - p)).astype(np.uint64))
-        yield doc[p], p + shift[p], mask, bucket, around
+        yield docs[part], p + shifts[part], mask, bucket, around
 
 
 def occurrences(docs: DataFrame, bucket_range: int, ranges: int) -> DataFrame:
@@ -159,10 +163,13 @@ def occurrences(docs: DataFrame, bucket_range: int, ranges: int) -> DataFrame:
 
 def repeated_samples(docs: DataFrame, bucket_range: int, ranges: int) -> tuple[DataFrame, str]:
     """(doc, h, place, bucket): of samples whose windows all repeat; with a bucket, of those to be compared."""
-    found = occurrences(docs, bucket_range, ranges)
+    found, found_path = stored(occurrences(docs, bucket_range, ranges), "samples")
     shared = found.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("around").alias("c0"), F.max("around").alias("c1"))
     shared = shared.where("low < high").select("bucket", "low", (F.col("c0") != F.col("c1")).alias("mixed"))
+    shared, shared_path = stored(shared, "shared-buckets")
+    free_shuffles(docs.sparkSession)
     rows, path = stored(found.join(shared, "bucket"), "shared-samples")
+    drop(docs.sparkSession, found_path, shared_path)
     free_shuffles(docs.sparkSession)
     plain = rows.where("not mixed and doc > low").select("doc", "h", "place", F.lit(None).cast("long").alias("bucket"))
     several = rows.where("mixed")
@@ -232,16 +239,21 @@ def dedup_substrings(docs: DataFrame, ranges: int = BUCKET_RANGES) -> DataFrame:
     texts = texts.withColumn("h", F.xxhash64("text") if twice else F.lit(0).cast("long"))
     known = texts.where("doc_id is not null and text is not null")
     parts = [repeated_samples(known, k, ranges) for k in range(ranges)]
-    samples_, paths = parts[0][0], [p for _, p in parts]
+    samples_ = parts[0][0]
     for more, _ in parts[1:]:
         samples_ = samples_.unionByName(more)
 
     windows, windows_path = stored(compared_windows(known, samples_.where("bucket is not null")), "windows")
     free_shuffles(spark)
-    first = windows.groupBy("bucket", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    hits, hits_path = stored(windows.join(first, ["bucket", "window"]).where("doc > low").select("doc", "h", ((F.col("start") * (1 << STEP)) + 1).alias("place")), "hits")
+    hits = None
+    for k in range(ranges):
+        own = windows.where(F.pmod("window", F.lit(ranges)) == k)
+        first = own.groupBy("bucket", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+        found = own.join(first, ["bucket", "window"]).where("doc > low").select("doc", "h", ((F.col("start") * (1 << STEP)) + 1).alias("place"))
+        found, _ = stored(found, "hits")
+        hits = found if hits is None else hits.unionByName(found)
+        free_shuffles(spark)
     drop(spark, windows_path)
-    free_shuffles(spark)
 
     # a place of bit 0 alone is a window's start
     covered = samples_.where("bucket is null").select("doc", "h", "place").unionByName(hits).groupBy(F.col("doc").alias("doc_id"), "h").agg(F.collect_list("place").alias("places"))
