@@ -1 +1 @@
-"""Part of the sparkdex engine."""
+"""Column expressions and path globs."""

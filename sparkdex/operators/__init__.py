@@ -1 +1 @@
-"""Part of the sparkdex engine."""
+"""Operators over index and scan DataFrames."""

@@ -1 +1 @@
-"""Part of the sparkdex engine."""
+"""The query language, its compilation to DataFrames, and the registered queries."""

@@ -1 +1 @@
-"""Part of the sparkdex engine."""
+"""File and table sources, and published generations."""

@@ -1 +1 @@
-"""Part of the sparkdex engine."""
+"""No operator of the engine is a streaming one: corpora are scanned, and scans compared (operators/changes.py)."""
