@@ -54,7 +54,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from . import oracles
+
+    return oracles.oracle_sql()
