@@ -35,38 +35,52 @@ def byte_letters() -> dict[int, str]:
     return table
 
 
-class PieceEncoder(dict):
+class Bounded(dict):
+    """key -> what ``make`` gives for it, remembered for a bounded number of short keys."""
+
+    LIMIT, LONG = 500_000, 64
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[key] = value
+        return value
+
+
+class PieceEncoder:
     """Text -> ids as unsigned 16-bit numbers (both kinds of vocabulary have less than 2**16 ids).
 
-    A text of common characters is cut into pre-tokens here and each is merged by the tokenizer's model; what a
-    pre-token came to is remembered, for a bounded number of them. Any other text goes through the whole
+    A text of common characters is cut at its spaces, each part into pre-tokens, and each pre-token is merged by the
+    tokenizer's model; what a part and a pre-token came to is remembered. Any other text goes through the whole
     tokenizer. Special tokens' strings are ordinary text.
     """
 
-    LIMIT = 500_000
-    LONG = 64
-
     def __init__(self, path: str, drops_space: bool):
         """drops_space: the vocabulary of words (lower case, white space in no token), else the byte-level one."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.merge = self.tokenizer.model.tokenize
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits are asked for")
         self.drops_space, self.letters = drops_space, byte_letters()
+        self.pieces = Bounded(self.merged)
+        self.parts = Bounded(self.cut if drops_space else lambda part: self.cut(" " + part))
 
-    def __missing__(self, piece: str) -> bytes:
+    def merged(self, piece: str) -> bytes:
         written = piece.encode().decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.merge(written)], "<u2").tobytes()
-        if len(piece) <= self.LONG:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u2").tobytes()
+
+    def cut(self, text: str) -> bytes:
+        found = SPACE_DROPS.findall(text.lower()) if self.drops_space else SPACE_LEADS.findall(text)
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def ids(self, text: str | None, end: int) -> np.ndarray:
         """The text's ids and the end id."""
@@ -75,5 +89,11 @@ class PieceEncoder(dict):
             return tail
         if UNCOMMON.search(text):
             return np.r_[np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2"), tail]
-        pieces = SPACE_DROPS.findall(text.lower()) if self.drops_space else SPACE_LEADS.findall(text)
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)) + tail.tobytes(), "<u2")
+        if self.drops_space:
+            made = b"".join(map(self.parts.__getitem__, text.split()))
+        elif "  " in text or " \n" in text:  # a run of white space would be cut within
+            made = self.cut(text)
+        else:
+            first, *parts = text.split(" ")
+            made = self.cut(first) + b"".join(map(self.parts.__getitem__, parts))
+        return np.frombuffer(made + tail.tobytes(), "<u2")

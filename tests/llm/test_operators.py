@@ -100,8 +100,9 @@ def test_pieces(name, drops):
     t.encode_special_tokens = True
     r = random.Random(3)
     letters = list("abcXYZ éÀßſŉİıµªº0129²½'’.,!?-_\n \t ­​日ΣςÁ") + ["'s", "'LL", "<|endoftext|>", "  ", "\n\n"]
-    for _ in range(600):
-        x = "".join(r.choice(letters) for _ in range(r.randint(0, 30)))
+    common = list("ab cDÉß½ı² \n\n  ,.'!-_0129") + ["'s", "'LL", "word", " x", " \n "]
+    for k in range(3000):
+        x = "".join(r.choice(common if k % 3 else letters) for _ in range(r.randint(0, 30)))
         assert e.ids(x, 9).tolist() == t.encode(x, add_special_tokens=False).ids + [9], repr(x)
 
 
