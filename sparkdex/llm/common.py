@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,7 +78,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        base = "file://" + tempfile.mkdtemp(prefix="sparkdex-")
+        folder = tempfile.mkdtemp(prefix="sparkdex-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sparkdex/{name}-{uuid.uuid4().hex}"
 

@@ -86,7 +86,7 @@ def assigned(filled: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def search_block(queries: np.ndarray, vectors: np.ndarray, largest: float, signs: np.ndarray, k: int, query_ids: np.ndarray, ids: np.ndarray):
-    """Places of queries, of vectors and the scores of each query's k best candidates of the block."""
+    """Places of queries, of vectors and the exact scores of each query's k best candidates of the block."""
     n = len(vectors)
     axes, level = assigned(unit(vectors, largest), signs)
     directions = np.ascontiguousarray(unit(queries, None).T)
@@ -109,18 +109,14 @@ def search_block(queries: np.ndarray, vectors: np.ndarray, largest: float, signs
             score = vectors[found] @ queries[q]
             if len(found) > k:
                 bar = np.partition(score, len(score) - k)[len(score) - k]
-                keep = score >= bar
-                found, score = found[keep], score[keep]
+                found = found[score >= bar - 1e-9 * max(1.0, abs(bar))]
+            # row by row, so that equal vectors have equal scores and ties go by id
+            score = (vectors[found] * queries[q]).sum(axis=1)
             order = np.lexsort((ids[found], -score))[:k]
             out.append((np.full(len(order), q), found[order], score[order]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def exact_dot(a: str, b: str):
-    """The inner product in double precision, summed in order."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest found, by inner product, of every row whose vec_id is divisible by ``every``.
 
@@ -170,10 +166,7 @@ def searcher(shared, largest: float, signs: np.ndarray, k: int):
         query_ids, queries = shared.value
 
         def run(ids, vectors):
-            q, v, _ = search_block(queries, vectors, largest, signs, k, query_ids, ids)
-            score = np.zeros(len(q))
-            for j in range(queries.shape[1]):  # in order, so that a score doesn't depend on the block's shape
-                score += queries[q, j] * vectors[v, j]
+            q, v, score = search_block(queries, vectors, largest, signs, k, query_ids, ids)
             return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[v]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         ids, parts, held = [], [], 0
