@@ -8,8 +8,8 @@
 3. Leaders: the sets with one and the same first shingle under an order are compared with the smallest of them,
    for a few more orders. That joins most of a group of near copies without its pairs.
 4. The rest, exactly: the sets that share a prefix shingle under the first order and aren't in one component yet
-   are candidates; length and position filters, and a shared prefix shingle under every other order, come before
-   the sets themselves are compared. Components of all links follow.
+   are candidates; length, position and count filters, and a shared prefix shingle under every other order, come
+   before the sets themselves are compared. Components of all links follow.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ ORDERS = 3
 LEADERS = 4
 FANIN = 32
 RANGES = 4
+#: Groups of shingles whose counts bound an intersection.
+GROUPS = 128
 SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(ORDERS + LEADERS)], np.uint64)
 
 
@@ -117,9 +119,10 @@ def prefix(s: np.ndarray, key: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, words_of: Callable, shared) -> DataFrame:
-    """Of every document with shingles: its prefix under the first order, and its first shingle under others."""
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * LEADERS]
-    names = ["doc", "size", "tokens", *(f"h{k}" for k in range(LEADERS))]
+    """Of every document with shingles: its prefix under the first order, its first shingle under others, and how
+    many of its shingles are in each of GROUPS groups."""
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * LEADERS, pa.list_(pa.int32())]
+    names = ["doc", "size", "tokens", *(f"h{k}" for k in range(LEADERS)), "counts"]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches):
@@ -132,12 +135,21 @@ def prefixes(docs: DataFrame, n: int, percent: int, words_of: Callable, shared)
                     continue
                 row = [doc, len(s), prefix(s, keyed(s, magnitude, 0), percent).view(np.int64)]
                 row += [int(s[keyed(s, magnitude, ORDERS + k).argmin()].view(np.int64)) for k in range(LEADERS)]
+                row.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32))
                 for c, x in zip(columns, row, strict=True):
                     c.append(x)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, ", ".join(["doc long", "size long", "tokens array<long>", *(f"h{k} long" for k in range(LEADERS))]))
+    return docs.mapInArrow(run, ", ".join(["doc long", "size long", "tokens array<long>", *(f"h{k} long" for k in range(LEADERS)), "counts array<int>"]))
+
+
+def close_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose counts by group leave room for the intersection that a link needs."""
+    left = sets.select(F.col("doc").alias("a"), F.col("size").alias("na"), F.col("counts").alias("ca"))
+    right = sets.select(F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("counts").alias("cb"))
+    room = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "b").where((100 + percent) * room >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, words_of: Callable, shared) -> tuple[DataFrame, str]:
@@ -197,20 +209,23 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Cal
         leaders = sets.groupBy(f"h{k}").agg(F.min(F.struct("doc", "size")).alias("l")).select(f"h{k}", F.col("l.doc").alias("b"), F.col("l.size").alias("size_b"))
         own = sets.select(f"h{k}", F.col("doc").alias("a"), "size").join(leaders, f"h{k}").where((F.col("a") != F.col("b")) & long_enough).select("a", "b")
         stars = own if stars is None else stars.unionByName(own)
-    links, links_path = verified(stars.distinct(), known, n, percent, words_of, shared)
+    links, links_path = verified(close_enough(stars.distinct(), sets, percent), known, n, percent, words_of, shared)
     # a doc_id with several texts joins their classes
     linked = rows.where("size > 0 and doc_id is not null").select("doc_id", *keys).distinct()
     twice = linked.groupBy("doc_id").count().where("count > 1").select("doc_id")
     same = linked.join(twice, "doc_id", "left_semi").join(classes, keys).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found, found_path = components(links.unionByName(same))
 
+    rooted = sets.select("doc", F.col("size").cast("int"), "tokens").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    rooted, rooted_path = stored(rooted.select("doc", F.coalesce("root", "doc").alias("root"), "size", "tokens"), "rooted")
+    free_shuffles(spark)
     opened = []
     for r in range(RANGES):  # one range of tokens at a time
-        tokens = sets.select("doc", "size", F.posexplode("tokens").alias("pos", "token")).where(F.pmod("token", F.lit(RANGES)) == r)
-        tokens = tokens.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"), F.col("size").cast("int"), "pos")
+        tokens = rooted.select("doc", "root", "size", F.posexplode("tokens").alias("pos", "token")).where(F.pmod("token", F.lit(RANGES)) == r)
         mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
         opened.append(stored(tokens.join(mixed, "token", "left_semi"), "open-tokens"))
         free_shuffles(spark)
+    drop(spark, rooted_path)
     open_ = opened[0][0]
     for more, _ in opened[1:]:
         open_ = open_.unionByName(more)
@@ -220,7 +235,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Cal
     overlap = F.ceil(F.lit(percent) * (F.col("sa") + F.col("sb")) / F.lit(100 + percent))
     pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
     pairs = pairs.where((100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")) & (F.least("pa", "pb") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= overlap))
-    rest, rest_path = verified(pairs.select("a", "b").distinct(), known, n, percent, words_of, shared)
+    rest, rest_path = verified(close_enough(pairs.select("a", "b").distinct(), sets, percent), known, n, percent, words_of, shared)
     final, final_path = components(rest.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     drop(spark, sets_path, found_path, links_path, rest_path, *(p for _, p in opened))
     free_shuffles(spark)
