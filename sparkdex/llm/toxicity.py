@@ -183,7 +183,10 @@ def pair_counts(rows: DataFrame, stream: int) -> DataFrame:
 
 
 def array_of(df: DataFrame, *keys: str) -> np.ndarray:
-    return df.toPandas().sort_values(list(keys)).to_numpy(dtype=float).reshape(-1, len(df.columns))
+    """A numeric frame's rows by key, collected as Arrow."""
+    rows = df.toArrow()
+    order = np.lexsort([rows.column(k).to_numpy() for k in reversed(keys)])
+    return np.stack([c.to_numpy().astype(float) for c in rows.columns], axis=1)[order]
 
 
 def model_of(rows: DataFrame, stream: int) -> KneserNey:
