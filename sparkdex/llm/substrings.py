@@ -168,13 +168,13 @@ def repeated_samples(docs: DataFrame, bucket_range: int, ranges: int) -> tuple[D
     shared = shared.where("low < high").select("bucket", "low", (F.col("c0") != F.col("c1")).alias("mixed"))
     shared, shared_path = stored(shared, "shared-buckets")
     free_shuffles(docs.sparkSession)
-    rows, path = stored(found.join(shared, "bucket"), "shared-samples")
+    rows, path = stored(found.join(shared.hint("shuffle_hash"), "bucket"), "shared-samples")
     drop(docs.sparkSession, found_path, shared_path)
     free_shuffles(docs.sparkSession)
     plain = rows.where("not mixed and doc > low").select("doc", "h", "place", F.lit(None).cast("long").alias("bucket"))
     several = rows.where("mixed")
     ranks = several.groupBy("bucket", "around").agg(F.min("doc").alias("rank"))
-    several = several.join(ranks, ["bucket", "around"]).select("doc", "h", "place", F.when(F.col("doc") == F.col("rank"), F.col("bucket")).alias("bucket"))
+    several = several.join(ranks.hint("shuffle_hash"), ["bucket", "around"]).select("doc", "h", "place", F.when(F.col("doc") == F.col("rank"), F.col("bucket")).alias("bucket"))
     out, out_path = stored(plain.unionByName(several), "repeated-samples")
     drop(docs.sparkSession, path)
     free_shuffles(docs.sparkSession)
@@ -249,7 +249,7 @@ def dedup_substrings(docs: DataFrame, ranges: int = BUCKET_RANGES) -> DataFrame:
     for k in range(ranges):
         own = windows.where(F.pmod("window", F.lit(ranges)) == k)
         first = own.groupBy("bucket", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-        found = own.join(first, ["bucket", "window"]).where("doc > low").select("doc", "h", ((F.col("start") * (1 << STEP)) + 1).alias("place"))
+        found = own.join(first.hint("shuffle_hash"), ["bucket", "window"]).where("doc > low").select("doc", "h", ((F.col("start") * (1 << STEP)) + 1).alias("place"))
         found, _ = stored(found, "hits")
         hits = found if hits is None else hits.unionByName(found)
         free_shuffles(spark)
