@@ -457,6 +457,17 @@ def test_pipeline_stages(spark, odd, tmp_path):
     assert {x.doc_id for x in packed} == set(safe) and [n for n, _ in C.STAGES] == ["language", "jaccard", "decontaminate", "secrets", "packing"]
 
 
+def test_pipeline_removes_a_single_item(spark, tmp_path):
+    import corpus_pipeline as C
+
+    r = random.Random(4)
+    item = prose(r, 30, [f"q{k}" for k in range(99)])
+    spark.createDataFrame([(1, item), (2, prose(r, 30, [f"z{k}" for k in range(99)]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    part = " ".join(item.split()[5:13])
+    docs = frame(spark, [(1, "before " + item + " after"), (2, "one window " + part), (3, "seven words " + part.rsplit(" ", 1)[0]), (4, None)])
+    assert {x.doc_id for x in C.remove_benchmark(spark, docs, str(tmp_path)).collect()} == {3, 4}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables aren't there")
 def test_registered(spark):
     import __spark_entry__ as entry
