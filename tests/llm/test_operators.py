@@ -306,6 +306,15 @@ def test_secrets(spark):
     assert SE.secret_scan(frame(spark, [])).count() == 0
 
 
+def spans_of(text):
+    return SE.rendered(SE.scan_text(text, 400)[1])
+
+
+def test_named_secret_without_a_digit():
+    assert spans_of("user=bob pass=hunter") == "weak_id:0:8,weak_secret:9:20"
+    assert spans_of("user: bob, 'pwd': 'hunter'") == "weak_id:0:9,weak_secret:12:25" and spans_of("pass=hunter") == ""
+
+
 def brute_decontaminate(docs, items, n=8):
     windows = defaultdict(set)
     for i, t in items:
