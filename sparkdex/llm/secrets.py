@@ -24,7 +24,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 WEAK_ID = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]{3,})", re.ASCII | re.IGNORECASE)
 NAMED_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:pass|pwd|pin|key|credential)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{4,})", re.ASCII | re.IGNORECASE)
-WEAK_SECRET = re.compile(rf"{NAMED_SECRET.pattern}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{20,64}}={{0,2}}(?![A-Za-z0-9+/_=-])", re.ASCII | re.IGNORECASE)
+WEAK_SECRET = re.compile(rf"{NAMED_SECRET.pattern}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{20,}}={{0,2}}(?![A-Za-z0-9+/_=-])", re.ASCII | re.IGNORECASE)
 ENDPOINT = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]{1,20}://[^\s\"'<>]{3,}|(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])")
 DIGIT = re.compile(r"[0-9]")
 

@@ -315,6 +315,13 @@ def test_named_secret_without_a_digit():
     assert spans_of("user: bob, 'pwd': 'hunter'") == "weak_id:0:9,weak_secret:12:25" and spans_of("pass=hunter") == ""
 
 
+def test_bare_secret_of_any_length():
+    for n in (20, 64, 65, 86, 500):
+        key = ("aB3+" * n)[:n] + "=="
+        assert spans_of("user=bob " + key + " end") == f"weak_id:0:8,weak_secret:9:{11 + n}" and spans_of(key) == ""
+    assert spans_of("user=bob " + "aB3+" * 4 + " " + "z" * 90 + " 1") == ""
+
+
 def brute_decontaminate(docs, items, n=8):
     windows = defaultdict(set)
     for i, t in items:
