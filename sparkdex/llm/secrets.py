@@ -64,7 +64,7 @@ def linked(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], b
     """The weak spans that have a complement in their scope: another paragraph ends it, and so does ``reach``.
 
     An interval join: each part's starts are sorted, and a weak span asks for a start of another part in
-    [scope start, scope end]. Identifiers and endpoints need a secret, secrets an identifier.
+    [scope start, scope end]. Identifiers and endpoints need a secret, secrets an identifier or an endpoint.
     """
     starts = {p: sorted(a for a, _, k in base + weak if PART[k] == p) for p in ("id", "secret", "endpoint")}
     taken = [(a, b) for a, b, _ in base]
@@ -76,7 +76,7 @@ def linked(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], b
         p = bisect.bisect_right(breaks, a)
         low = max(a - reach, breaks[p - 1] if p else 0)
         high = min(b + reach, breaks[p] - 1 if p < len(breaks) else b + reach)
-        for other in ("id",) if PART[kind] == "secret" else ("secret",):
+        for other in ("id", "endpoint") if PART[kind] == "secret" else ("secret",):
             i = bisect.bisect_left(starts[other], low)
             if i < len(starts[other]) and starts[other][i] <= high:
                 out.append((a, b, kind))

@@ -322,6 +322,14 @@ def test_bare_secret_of_any_length():
     assert spans_of("user=bob " + "aB3+" * 4 + " " + "z" * 90 + " 1") == ""
 
 
+def test_secret_beside_an_endpoint():
+    assert spans_of("https://h.example/x pass=hunter2") == "endpoint:0:19,weak_secret:20:32"
+    assert spans_of("pin: 4711\nat 10.0.0.1:8080") == "weak_secret:0:9,endpoint:13:26"
+    assert spans_of("https://h.example/x\n\npass=hunter2") == "" and spans_of("https://h.example/x" + " -" * 300 + " pass=hunter2") == ""
+    text = "https://h.example/x pass=hunter2"
+    assert "hunter2" not in SE.redacted(text, SE.scan_text(text, 400)[1])
+
+
 def brute_decontaminate(docs, items, n=8):
     windows = defaultdict(set)
     for i, t in items:
