@@ -2,13 +2,13 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet to the shared folder and rereads as the next one's docs. All but the last return the columns
-of ``documents``. A decision about a doc_id holds for all its rows; rows with a null doc_id can't be named by one
-and pass every filter.
+of ``documents``. A decision about a doc_id holds for all its rows, but in the Jaccard join, which decides by text;
+rows with a null doc_id can't be named by one and pass every filter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdex.llm.common import drop, free_shuffles, stored, table
@@ -21,7 +21,7 @@ from sparkdex.llm.tokens import tokenizer_path
 
 #: A document whose largest share is smaller is of no language.
 LEAST_SHARE = 0.3
-ROW = "__row_of_doc_id"
+ROW, GROUP = "__row_of_doc_id", "__group_of_row"
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -35,14 +35,20 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by five-word shingles at 0.8 or more, directly or not, the smallest doc_id stays."""
-    kept = without(docs, jaccard_groups(docs, n=5, percent=80).where("doc_id != component_id"))
+    """Of documents that link by five-word shingles at 0.8 or more, directly or not, the smallest doc_id stays.
+
+    Where doc_ids repeat, each text of one is a document of its own: of a group, the smallest doc_id's first by text.
+    """
     ids = docs.where("doc_id is not null").groupBy("doc_id").count()
-    if ids.where("count > 1").limit(1).count():  # of rows of one id, the first by text
-        w = Window.partitionBy("doc_id").orderBy("text")
-        once = kept.where("doc_id is not null").withColumn(ROW, F.row_number().over(w)).where(F.col(ROW) == 1).drop(ROW)
-        kept = once.unionByName(kept.where("doc_id is null"))
-    return kept
+    if not ids.where("count > 1").limit(1).count():
+        return without(docs, jaccard_groups(docs, n=5, percent=80).where("doc_id != component_id"))
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).withColumn(ROW, F.monotonically_increasing_id())
+    own, _ = stored(own, "pipeline-rows")
+    groups = jaccard_groups(own.select(F.col(ROW).alias("doc_id"), "text"), n=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP))
+    first = own.select(ROW, "doc_id", "text").join(groups, ROW).groupBy(GROUP).agg(F.min(F.struct("doc_id", "text", ROW)).alias("first"))
+    kept = own.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -492,6 +492,17 @@ def test_pipeline_removes_a_single_item(spark, tmp_path):
     assert {x.doc_id for x in C.remove_benchmark(spark, docs, str(tmp_path)).collect()} == {3, 4}
 
 
+def test_pipeline_keeps_texts_of_a_repeated_id(spark):
+    import corpus_pipeline as C
+
+    r = random.Random(11)
+    a, b, c, d = (prose(r, 60, [f"{x}{k}" for k in range(99)]) for x in "abcd")
+    rows = [(5, a), (5, b), (5, a), (3, a + " end"), (5, b + " end"), (8, c), (8, d + " end"), (9, d), (None, a), (5, None), (6, "")]
+    once = C.keep_first_of_group(spark, frame(spark, rows), "")
+    want = Counter([(3, a + " end"), (5, b), (8, c), (8, d + " end"), (None, a), (5, None), (6, "")])
+    assert Counter((x.doc_id, x.text) for x in once.collect()) == want and once.columns == DDL.replace(",", "").split()[::2]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables aren't there")
 def test_registered(spark):
     import __spark_entry__ as entry
