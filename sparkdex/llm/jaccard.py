@@ -181,14 +181,42 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, words_of:
     return links, links_path
 
 
+def links_between(sets: DataFrame, roots: DataFrame, known: DataFrame, n: int, percent: int, words_of: Callable, shared) -> tuple[DataFrame, str]:
+    """All links (a, b) of sets whose roots (node, root; its own where none is given) differ, and the table's path."""
+    spark = known.sparkSession
+    rooted = sets.select("doc", F.col("size").cast("int"), "tokens").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+    rooted, rooted_path = stored(rooted.select("doc", F.coalesce("root", "doc").alias("root"), "size", "tokens"), "rooted")
+    free_shuffles(spark)
+    opened = []
+    for r in range(RANGES):  # one range of tokens at a time
+        tokens = rooted.select("doc", "root", "size", F.posexplode("tokens").alias("pos", "token")).where(F.pmod("token", F.lit(RANGES)) == r)
+        mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+        opened.append(stored(tokens.join(mixed, "token", "left_semi"), "open-tokens"))
+        free_shuffles(spark)
+    drop(spark, rooted_path)
+    open_ = opened[0][0]
+    for more, _ in opened[1:]:
+        open_ = open_.unionByName(more)
+    left = open_.select("token", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
+    right = open_.select("token", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
+    # a shared token at places pa and pb: what stands before and after it in either set bounds the intersection
+    overlap = F.ceil(F.lit(percent) * (F.col("sa") + F.col("sb")) / F.lit(100 + percent))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
+    pairs = pairs.where((100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")) & (F.least("pa", "pb") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= overlap))
+    links, links_path = verified(close_enough(pairs.select("a", "b").distinct(), sets, percent), known, n, percent, words_of, shared)
+    drop(spark, *(p for _, p in opened))
+    return links, links_path
+
+
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Callable = space_words) -> DataFrame:
     """Groups of documents whose sets of n-word shingles link: 100 * intersection >= percent * union.
 
     One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links). A
     document of fewer than n words has its whole sequence as its one shingle; without words or text it has none
     and links with nothing. A null doc_id links with nothing and has a null component_id. Rows that repeat a
-    doc_id are one document with the links of all their texts. Other columns are ignored. No link is lost:
-    the prefix filters are exact, and candidates within a component that earlier links made are left out only.
+    doc_id are one document with the links of all their texts. Other columns are ignored. The components are exact,
+    but not every link is looked for: candidates within a component that earlier links made aren't compared.
+    ``jaccard_links`` finds and counts all links.
     """
     spark = docs.sparkSession
     texts = documents(docs)
@@ -216,29 +244,55 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Cal
     same = linked.join(twice, "doc_id", "left_semi").join(classes, keys).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found, found_path = components(links.unionByName(same))
 
-    rooted = sets.select("doc", F.col("size").cast("int"), "tokens").join(found.withColumnRenamed("node", "doc"), "doc", "left")
-    rooted, rooted_path = stored(rooted.select("doc", F.coalesce("root", "doc").alias("root"), "size", "tokens"), "rooted")
-    free_shuffles(spark)
-    opened = []
-    for r in range(RANGES):  # one range of tokens at a time
-        tokens = rooted.select("doc", "root", "size", F.posexplode("tokens").alias("pos", "token")).where(F.pmod("token", F.lit(RANGES)) == r)
-        mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-        opened.append(stored(tokens.join(mixed, "token", "left_semi"), "open-tokens"))
-        free_shuffles(spark)
-    drop(spark, rooted_path)
-    open_ = opened[0][0]
-    for more, _ in opened[1:]:
-        open_ = open_.unionByName(more)
-    left = open_.select("token", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
-    right = open_.select("token", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
-    # a shared token at places pa and pb: what stands before and after it in either set bounds the intersection
-    overlap = F.ceil(F.lit(percent) * (F.col("sa") + F.col("sb")) / F.lit(100 + percent))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    pairs = pairs.where((100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")) & (F.least("pa", "pb") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= overlap))
-    rest, rest_path = verified(close_enough(pairs.select("a", "b").distinct(), sets, percent), known, n, percent, words_of, shared)
+    rest, rest_path = links_between(sets, found, known, n, percent, words_of, shared)
     final, final_path = components(rest.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(spark, sets_path, found_path, links_path, rest_path, *(p for _, p in opened))
+    drop(spark, sets_path, found_path, links_path, rest_path)
     free_shuffles(spark)
 
     groups = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("root", "rep").alias("root"))
     return rows.join(groups, keys, "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def class_links(texts: DataFrame, n: int, percent: int, words_of: Callable = space_words) -> tuple[DataFrame, DataFrame]:
+    """Of texts with distinct doc_ids that aren't null: (doc_id, rep), rep standing for the documents of an equal set,
+    and every link (a, b), a < b, between different sets, by what stands for them."""
+    spark = texts.sparkSession
+    rows, _ = stored(sketch(texts, n, words_of), "sets")
+    shared = spark.sparkContext.broadcast(magnitudes(merged_counters(rows.where("counters is not null").select("counters"))))
+    rows, keys = rows.where("counters is null and size > 0"), ["k1", "k2", "size"]
+    classes, _ = stored(rows.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    sets, sets_path = stored(prefixes(texts.join(reps, "doc_id", "left_semi"), n, percent, words_of, shared), "prefixes")
+    links, _ = links_between(sets, spark.createDataFrame([], "node long, root long"), texts, n, percent, words_of, shared)
+    drop(spark, sets_path)
+    free_shuffles(spark)
+    return rows.join(classes, keys).select("doc_id", "rep"), links
+
+
+def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Callable = space_words) -> DataFrame:
+    """The number of links of every document: all pairs that link as in ``jaccard_groups``, copies included.
+
+    One row per distinct doc_id that isn't null: doc_id, n_links (other doc_ids with a text that links with one of
+    its own). Sets are compared once each, so copies weigh in the count and not in the work; links between
+    different sets are all found, and grow with the square of a group of them.
+    """
+    texts = documents(docs).where("doc_id is not null").dropDuplicates().withColumn("key", F.monotonically_increasing_id())
+    texts, _ = stored(texts, "keyed-texts")
+    of, links = class_links(texts.select(F.col("key").alias("doc_id"), "text"), n, percent, words_of)
+    held, _ = stored(of.withColumnRenamed("doc_id", "key").join(texts.select("key", "doc_id"), "key").select("doc_id", "rep").distinct(), "classes-of")
+    # documents of one set are counted by set; those of several are few and are named
+    several = held.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    one = held.join(several, "doc_id", "left_anti")
+    named = held.join(several, "doc_id", "left_semi")
+    near = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near, _ = stored(near.unionByName(held.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()), "near-sets")
+    weights = one.groupBy(F.col("rep").alias("b")).agg(F.count("*").alias("copies"))
+    by_set = near.join(weights, "b").groupBy("a").agg(F.sum("copies").alias("copies"))
+    named_by_set = near.join(named.select(F.col("rep").alias("b"), "doc_id"), "b").groupBy("a").agg(F.countDistinct("doc_id").alias("named"))
+    sets = by_set.join(named_by_set, "a", "full").select(F.col("a").alias("rep"), (F.coalesce("copies", F.lit(0)) + F.coalesce("named", F.lit(0)) - 1).alias("n_links"))
+    counts = one.join(sets, "rep").select("doc_id", "n_links")
+    around = named.join(near.withColumnRenamed("a", "rep"), "rep").select("doc_id", "b").distinct()
+    single = around.join(weights, "b", "left").groupBy("doc_id").agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"))
+    others = around.join(named.select(F.col("rep").alias("b"), F.col("doc_id").alias("other")), "b").groupBy("doc_id").agg(F.countDistinct("other").alias("named"))
+    counts = counts.unionByName(single.join(others, "doc_id").select("doc_id", (F.col("copies") + F.col("named") - 1).alias("n_links")))
+    return texts.select("doc_id").distinct().join(counts, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -429,6 +429,31 @@ def test_jaccard_edges(spark):
     assert J.jaccard_groups(frame(spark, [])).count() == 0
 
 
+def brute_links(rows, n, percent):
+    sets, near = defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        if d is not None:
+            sets[d] |= {frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))} if w else set()
+    for a, own in sets.items():
+        near[a] |= {b for b, other in sets.items() if a != b and any(100 * len(s & t) >= percent * len(s | t) for s in own for t in other)}
+    return {d: len(x) for d, x in near.items()}
+
+
+def test_jaccard_links_within_components(spark):
+    r = random.Random(13)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(base[:199] if k == 0 else [*base[: 6 * k], f"x{k}", *base[6 * k + 1 :]])) for k in range(20)]  # near copies, all in one component
+    rows += [(100 + k, rows[3][1]) for k in range(5)] + [(200, prose(r, 50)), (201, None), (202, ""), (None, rows[3][1])]
+    other = " ".join(f"y{k}" for k in range(60))
+    rows += [(300, rows[4][1]), (300, other), (301, other + " end"), (301, rows[4][1]), (302, other), (300, other)]
+    r.shuffle(rows)
+    want = brute_links(rows, 3, 90)
+    got = J.jaccard_links(frame(spark, rows), 3, 90).collect()
+    assert len(got) == len(want) and {x.doc_id: x.n_links for x in got} == want
+    assert want[3] > 20 and want[301] > 20 and want[302] == 2
+
+
 def test_counters_merge_as_a_tree(spark, odd, monkeypatch):
     docs = frame(spark, odd).select("doc_id", "text").repartition(9)
     parts = J.sketch(docs, 3, J.space_words).where("counters is not null").select("counters")
