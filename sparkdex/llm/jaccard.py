@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: prefix filters under several global orders of shingles, intersected, then verified.
+"""N-gram Jaccard join: a prefix filter and counts by group, then prefix filters under more orders, then verified.
 
 1. Every document's shingles are hashed to 64 bits. Equal sets form a class, which its smallest id stands for.
    All documents' shingles are counted in a table of 2**20 counters (merged as a tree).
@@ -8,8 +8,8 @@
 3. Leaders: the sets with one and the same first shingle under an order are compared with the smallest of them,
    for a few more orders. That joins most of a group of near copies without its pairs.
 4. The rest, exactly: the sets that share a prefix shingle under the first order and aren't in one component yet
-   are candidates; length, position and count filters, and a shared prefix shingle under every other order, come
-   before the sets themselves are compared. Components of all links follow.
+   are candidates; length, position and count filters come before texts are fetched, a shared prefix shingle under
+   every other order only after that, before the sets themselves are compared. Components of all links follow.
 """
 
 from __future__ import annotations
