@@ -1,21 +1,23 @@
-"""N-gram Jaccard join: a prefix filter and counts by group, then prefix filters under more orders, then verified.
-
-1. Every document's shingles are hashed to 64 bits. Equal sets form a class, which its smallest id stands for.
-   All documents' shingles are counted in a table of 2**20 counters (merged as a tree).
-2. A global order sorts shingles by the magnitude of their count, rare first, then by a hash of its own. For a
-   similarity t, a set of n shares one of its first n - ceil(t n) + 1 shingles with every set it links to,
-   under each order.
-3. Leaders: the sets with one and the same first shingle under an order are compared with the smallest of them,
-   for a few more orders. That joins most of a group of near copies without its pairs.
-4. The rest, exactly: the sets that share a prefix shingle under the first order and aren't in one component yet
-   are candidates; length, position and count filters come before texts are fetched, a shared prefix shingle under
-   every other order only after that, before the sets themselves are compared. Components of all links follow.
+"""N-gram Jaccard join: several global orders filter the pairs, and only what passes all of them is compared.
+
+1. Every document's shingles are hashed to 64 bits, and sets are told apart by 128 bits. Equal sets form a class,
+   which its smallest id stands for.
+2. The zone is the share of the hash space that holds somewhat more of a set than a prefix does. Each order places
+   the zone first, by how many sets hold a shingle (the first order by the number itself, the others by coarser
+   ranks, each with ties by a hash of its own), then the rest by hash. For a similarity t, a set of n shares one of
+   its first n - ceil(t n) + 1 shingles with every set it links to, under each order. A shingle of one set alone is
+   shared with none: it fills a place and makes no pair, so most sets end here without a pair.
+3. Candidates share a prefix shingle under the first order, meet in the signatures of their prefixes under every
+   other, and pass length, position and sketch filters, all of it as the condition of one join. The sketch is the
+   parity of a set's members in each of BITS cells: where two sketches differ, the sets do.
+4. Leaders first: the sets of a shingle are compared with the smallest of them, which joins most of a group of near
+   copies. What is in one component then isn't paired again. Components of all links follow.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +28,51 @@ from pyspark.sql import functions as F
 from .common import WordHashes, documents, drop, free_shuffles, mix, space_words, stored, texts_of
 from .components import components
 
-COUNTERS = 1 << 20
-ORDERS = 3
-LEADERS = 4
-FANIN = 32
-RANGES = 4
-#: Groups of shingles whose counts bound an intersection.
-GROUPS = 128
-SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(ORDERS + LEADERS)], np.uint64)
+#: The zone holds this many times a prefix, on average.
+ZONE = 1.5
+#: Parity cells of a sketch; bits of a prefix's signature; orders beside the first.
+BITS, SIGNATURE, MORE_ORDERS = 1024, 128, 2
+WORDS_AT_ONCE = 200_000
+FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
+SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 3) % (1 << 64) for k in range(MORE_ORDERS)], np.uint64)
 
 
-def shingles(hashes: WordHashes, words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct hashes of n-word shingles; of the whole sequence if it has fewer words."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    k = min(n, len(h))
+def folded(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words whose hashes are given."""
     out = np.full(len(h) - k + 1, np.uint64(k))
     for i in range(k):
-        out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+        out = mix(out * FOLD + h[i : len(h) - k + 1 + i])
+    return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def shingles(hashes: WordHashes, words: list[bytes], n: int) -> np.ndarray:
+    """Sorted distinct hashes of n-word shingles; of the whole sequence if it has fewer words."""
+    return distinct(folded(hashes.of(words), min(n, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def shingle_sets(hashes: WordHashes, texts: list[bytes | None], n: int, words_of: Callable):
+    """The shingles of each text, many texts at a time."""
+
+    def of(held):
+        flat = hashes.of(list(chain.from_iterable(held)))
+        runs, at = folded(flat, n) if len(flat) >= n else flat[:0], 0
+        for words in held:
+            yield distinct(runs[at : at + len(words) - n + 1]) if len(words) >= n else shingles(hashes, words, n)
+            at += len(words)
+
+    held, size = [], 0
+    for text in texts:
+        held.append(words_of(text))
+        size += len(held[-1])
+        if size >= WORDS_AT_ONCE:
+            yield from of(held)
+            held, size = [], 0
+    yield from of(held)
 
 
 def need(n, percent: int):
@@ -53,158 +80,182 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def sketch(docs: DataFrame, n: int, words_of: Callable) -> DataFrame:
-    """A row for each document (key of its set, its size) and one for each partition (counters, compressed)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counters", pa.binary())])
+def zone_end(percent: int) -> int:
+    """Hashes below it are in the zone; as signed numbers they aren't negative."""
+    return int(min(0.49, ZONE * (100 - percent) / 100 + 0.005) * 2**64)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    cells = np.bincount((mix(s) >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """A column of lists of 64-bit numbers."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+
+
+def profiles(docs: DataFrame, n: int, percent: int, words_of: Callable) -> DataFrame:
+    """Of each document: a number of its own (row), the size and key of its set, its shingles in the zone (as many
+    more as a prefix needs), how many of them are in it, and its sketch."""
+    names = ["doc_id", "row", "size", "k1", "k2", "zone", "low", "sketch"]
+    end = np.uint64(zone_end(percent))
 
     def run(batches):
-        hashes, counters = WordHashes(), np.zeros(COUNTERS, np.uint32)
+        hashes = WordHashes()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                s = shingles(hashes, words_of(text), n)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                k1, k2 = np.frombuffer(d, np.int64).tolist()
-                rows.append((doc, len(s), k1, k2, None))
-                np.add.at(counters, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-        if counters.any():
-            yield pa.RecordBatch.from_pylist([{"counters": zlib.compress(counters.tobytes(), 1)}], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, size long, k1 long, k2 long, counters binary")
-
-
-def merged_counters(parts: DataFrame) -> np.ndarray:
-    """The sum of the partitions' counters, FANIN at a time, so that a task and the driver see few."""
-    paths = []
-
-    def add(pdf):
-        total = np.zeros(COUNTERS, np.uint64)
-        for x in pdf["counters"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        return pdf.iloc[:1].assign(counters=[zlib.compress(total.tobytes(), 1)])[["counters"]]
-
-    count = parts.count()
-    while count > FANIN:
-        groups = -(-count // FANIN)
-        parts, path = stored(parts.groupBy(F.pmod(F.xxhash64("counters"), F.lit(groups)).alias("g")).applyInPandas(add, "counters binary"), "counters")
-        paths.append(path)
-        count = parts.count()
-    total = np.zeros(COUNTERS, np.uint64)
-    for r in parts.collect():
-        total += np.frombuffer(zlib.decompress(r.counters), np.uint32)
-    if paths:
-        drop(parts.sparkSession, *paths)
-    return total
-
-
-def magnitudes(total: np.ndarray) -> np.ndarray:
-    """Of each counter, the power of two by which it stands out from the mean (what chance brings)."""
-    return np.log2(np.maximum(total / max(1.0, total.mean()), 1.0)).astype(np.uint8)
-
-
-def keyed(s: np.ndarray, magnitude: np.ndarray, order: int) -> np.ndarray:
-    """The shingles' places in a global order, as comparable numbers."""
-    rare = magnitude[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-    return rare | (mix(s ^ SEEDS[order]) >> np.uint64(6))
-
-
-def prefix(s: np.ndarray, key: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a set under an order, first shingle first."""
-    m = len(s) - need(len(s), percent) + 1
-    first = np.argpartition(key, m - 1)[:m] if m < len(s) else np.arange(len(s))
-    return s[first[np.argsort(key[first])]]
-
-
-def prefixes(docs: DataFrame, n: int, percent: int, words_of: Callable, shared) -> DataFrame:
-    """Of every document with shingles: its prefix under the first order, its first shingle under others, and how
-    many of its shingles are in each of GROUPS groups."""
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * LEADERS, pa.list_(pa.int32())]
-    names = ["doc", "size", "tokens", *(f"h{k}" for k in range(LEADERS)), "counts"]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
+            if not batch.num_rows:
+                continue
+            sizes, keys, zones, low, sketches = [], [], [], [], []
+            for s in shingle_sets(hashes, texts_of(batch), n, words_of):
+                zone = int(np.searchsorted(s, end))
+                sizes.append(len(s))
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                zones.append(zone)
+                low.append(s[: max(zone, len(s) - need(len(s), percent) + 1)])
+                sketches.append(sketch(s))
+            k1, k2 = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).T
+            own = [batch.column("doc_id"), batch.column("row"), *(pa.array(np.ascontiguousarray(x, np.int64)) for x in (sizes, k1, k2, zones)), lists(low), lists(sketches)]
+            yield pa.RecordBatch.from_arrays(own, names=names)
+
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in names[:6]), "low array<long>", "sketch array<long>"]))
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Of (doc, size, zone, tokens, counts, sketch), tokens being the shingles that several sets hold: the set's prefix
+    under the first order without shingles of its own alone, their number, and the signatures of the other prefixes."""
+    names = ["doc", "size", "alone", "tokens", *(f"order{k}" for k in range(MORE_ORDERS)), "sketch"]
+    end = np.uint64(zone_end(percent))
+
+    def signature(tokens):
+        bits = np.zeros(SIGNATURE, np.uint8)
+        bits[(mix(tokens) >> np.uint64(64 - (SIGNATURE - 1).bit_length())).astype(np.int64)] = 1
+        return np.packbits(bits).view(np.int64)
 
     def run(batches):
-        hashes, magnitude = WordHashes(), shared.value
         for batch in batches:
-            columns = [[] for _ in names]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                s = shingles(hashes, words_of(text), n)
-                if not len(s):
+            kept, columns = [], [[] for _ in range(2 + MORE_ORDERS)]
+            sizes, zones = batch.column("size").to_numpy(), batch.column("zone").to_numpy()
+            for i, (t, c) in enumerate(zip(batch.column("tokens"), batch.column("counts"), strict=True)):
+                t, c = t.values.to_numpy().view(np.uint64), c.values.to_numpy()
+                outside = t >= end
+                alone = int(zones[i]) - int((~outside).sum())
+                places = int(sizes[i]) - need(int(sizes[i]), percent) + 1 - alone
+                if places <= 0:
                     continue
-                row = [doc, len(s), prefix(s, keyed(s, magnitude, 0), percent).view(np.int64)]
-                row += [int(s[keyed(s, magnitude, ORDERS + k).argmin()].view(np.int64)) for k in range(LEADERS)]
-                row.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32))
-                for c, x in zip(columns, row, strict=True):
-                    c.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema=schema)
+                kept.append(i)
+                # outside the zone only the hash counts
+                first = np.lexsort((t, np.where(outside, 0, c), outside))[:places]
+                columns[0].append(alone)
+                columns[1].append(t[first])
+                for k in range(MORE_ORDERS):
+                    rank = np.where(outside, 0, np.log2(c).astype(np.int64) >> k)
+                    order = np.lexsort((np.where(outside, t, mix(t ^ SEEDS[k])), rank, outside))[:places]
+                    columns[2 + k].append(signature(t[order]))
+            if kept:
+                own = batch.take(pa.array(kept))
+                arrays = [own.column("doc"), own.column("size"), pa.array(columns[0], pa.int64()), *map(lists, columns[1:]), own.column("sketch")]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return sets.mapInArrow(run, ", ".join(["doc long", "size long", "alone long", *(f"{c} array<long>" for c in names[3:])]))
+
+
+def shared_prefixes(rows: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """The prefixes of the classes' first members, and the table's path."""
+    spark = rows.sparkSession
+    sets = rows.join(classes.select("row", F.col("rep").alias("doc")), "row")
+    tokens = sets.select("row", F.explode("low").alias("token"))
+    several, path = stored(tokens.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), "shared-shingles")
+    held = tokens.join(several.hint("shuffle_hash"), "token").groupBy("row").agg(F.collect_list(F.struct("token", "count")).alias("x"))
+    own = sets.select("row", "doc", "size", "zone", "sketch").join(held, "row")
+    out = prefixes(own.select("doc", "size", "zone", F.col("x.token").alias("tokens"), F.col("x.count").alias("counts"), "sketch"), percent)
+    out = stored(out, "prefixes")
+    drop(spark, path)
+    free_shuffles(spark)
+    return out
+
+
+def room(a: str, b: str, percent: int):
+    """Whether sketches and sizes leave room for a link: where cells differ, so do the sets."""
+    apart = sum((F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(BITS // 64)), F.lit(0))
+    sizes = F.col(f"size_{a}") + F.col(f"size_{b}")
+    lengths = 100 * F.least(f"size_{a}", f"size_{b}") >= percent * F.greatest(f"size_{a}", f"size_{b}")
+    return lengths & ((100 + percent) * (sizes - apart) >= 2 * percent * sizes)
 
-    return docs.mapInArrow(run, ", ".join(["doc long", "size long", "tokens array<long>", *(f"h{k} long" for k in range(LEADERS)), "counts array<int>"]))
 
+def meet(a: str, b: str):
+    """Whether the prefixes can share a shingle under every order but the first."""
+    out = F.lit(True)
+    for k in range(MORE_ORDERS):
+        out = out & (sum((F.bit_count(F.col(f"order{k}_{a}")[i].bitwiseAND(F.col(f"order{k}_{b}")[i])) for i in range(SIGNATURE // 64)), F.lit(0)) > 0)
+    return out
 
-def close_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose counts by group leave room for the intersection that a link needs."""
-    left = sets.select(F.col("doc").alias("a"), F.col("size").alias("na"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("counts").alias("cb"))
-    room = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").where((100 + percent) * room >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
+def sided(df: DataFrame, side: str, but: tuple = ()) -> DataFrame:
+    return df.select(*(F.col(c).alias(c if c in but else f"{c}_{side}") for c in df.columns))
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, words_of: Callable, shared) -> tuple[DataFrame, str]:
-    """Those of the pairs (a, b) whose sets link, and the table's path: first their prefixes must meet under every
-    other order, then the sets are compared. Only texts of documents in pairs are kept for it."""
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, words_of: Callable) -> tuple[DataFrame, str]:
+    """Those of the pairs (a, b) whose sets link, and the table's path. Only texts of documents in pairs are read for it."""
+    spark = docs.sparkSession
     pairs, pairs_path = stored(pairs, "pairs")
     there = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts, texts_path = stored(docs.join(there, "doc_id", "left_semi"), "pair-texts")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
 
     def run(batches):
-        hashes, magnitude, last, s, own = WordHashes(), shared.value, None, None, None
+        hashes, last, s = WordHashes(), None, None
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), texts_of(batch, "x"), texts_of(batch, "y"), strict=True):
-                if (a, x) != last:
-                    last, s = (a, x), shingles(hashes, words_of(x), n)
-                    own = [prefix(s, keyed(s, magnitude, k), percent) for k in range(1, ORDERS)] if len(s) else []
-                t = shingles(hashes, words_of(y), n)
-                meet = len(s) and len(t) and all(np.isin(prefix(t, keyed(t, magnitude, k), percent), p).any() for k, p in enumerate(own, 1))
-                both = len(np.intersect1d(s, t, assume_unique=True)) if meet else 0
-                keep.append(bool(meet) and 100 * both >= percent * (len(s) + len(t) - both))
+            for b, x, y in zip(batch.column("b").to_pylist(), texts_of(batch, "x"), texts_of(batch, "y"), strict=True):
+                if (b, y) != last:
+                    last, s = (b, y), shingles(hashes, words_of(y), n)
+                t = shingles(hashes, words_of(x), n)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     links, links_path = stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-    drop(docs.sparkSession, pairs_path, texts_path)
-    free_shuffles(docs.sparkSession)
+    drop(spark, pairs_path, texts_path)
+    free_shuffles(spark)
     return links, links_path
 
 
-def links_between(sets: DataFrame, roots: DataFrame, known: DataFrame, n: int, percent: int, words_of: Callable, shared) -> tuple[DataFrame, str]:
-    """All links (a, b) of sets whose roots (node, root; its own where none is given) differ, and the table's path."""
+def leader_links(sets: DataFrame, known: DataFrame, n: int, percent: int, words_of: Callable) -> tuple[DataFrame, str]:
+    """Links of sets with the smallest set that shares their rarest, middle or commonest prefix shingle, and the path."""
+    leaders = sets.select("doc", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("doc").alias("doc_b"))
+    some = F.array_distinct(F.array(F.element_at("tokens", 1), F.element_at("tokens", -1), F.element_at("tokens", (F.size("tokens") / 2 + 1).cast("int"))))
+    stars = sets.select("doc", F.explode(some).alias("token")).join(leaders, "token").where("doc != doc_b").select(F.col("doc").alias("doc_a"), "doc_b").distinct()
+    facts = sets.select("doc", "size", "sketch")
+    near = stars.join(sided(facts, "a"), "doc_a").join(sided(facts, "b"), "doc_b").where(room("a", "b", percent))
+    return verified(near.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), known, n, percent, words_of)
+
+
+def links_between(sets: DataFrame, roots: DataFrame, known: DataFrame, n: int, percent: int, words_of: Callable) -> tuple[DataFrame, str]:
+    """All links (a, b) of sets whose roots (node, root; its own where none is given) differ, and the table's path.
+
+    Of the sets of a shingle, those of its most frequent root meet the others alone.
+    """
     spark = known.sparkSession
-    rooted = sets.select("doc", F.col("size").cast("int"), "tokens").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-    rooted, rooted_path = stored(rooted.select("doc", F.coalesce("root", "doc").alias("root"), "size", "tokens"), "rooted")
-    free_shuffles(spark)
-    opened = []
-    for r in range(RANGES):  # one range of tokens at a time
-        tokens = rooted.select("doc", "root", "size", F.posexplode("tokens").alias("pos", "token")).where(F.pmod("token", F.lit(RANGES)) == r)
-        mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-        opened.append(stored(tokens.join(mixed, "token", "left_semi"), "open-tokens"))
-        free_shuffles(spark)
-    drop(spark, rooted_path)
-    open_ = opened[0][0]
-    for more, _ in opened[1:]:
-        open_ = open_.unionByName(more)
-    left = open_.select("token", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
-    right = open_.select("token", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
-    # a shared token at places pa and pb: what stands before and after it in either set bounds the intersection
-    overlap = F.ceil(F.lit(percent) * (F.col("sa") + F.col("sb")) / F.lit(100 + percent))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    pairs = pairs.where((100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")) & (F.least("pa", "pb") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= overlap))
-    links, links_path = verified(close_enough(pairs.select("a", "b").distinct(), sets, percent), known, n, percent, words_of, shared)
-    drop(spark, *(p for _, p in opened))
+    rooted = sets.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    rooted, rooted_path = stored(rooted, "rooted")
+    by_root = rooted.select("root", F.explode("tokens").alias("token")).groupBy("token", "root").count()
+    open_ = by_root.groupBy("token").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("most.root").alias("most"))
+    open_, open_path = stored(open_, "open-shingles")
+    facts = rooted.select("doc", "root", "size", "alone", *(f"order{k}" for k in range(MORE_ORDERS)), "sketch", F.posexplode("tokens").alias("pos", "token"))
+    facts = facts.join(open_, "token")
+    left, right = sided(facts.where("root != most"), "a", ("token",)), sided(facts, "b", ("token",))
+    ahead = F.least("pos_a", "pos_b")
+    behind = F.least(F.col("size_a") - F.col("alone_a") - F.col("pos_a"), F.col("size_b") - F.col("alone_b") - F.col("pos_b"))
+    inside = (F.col("token") >= 0) & (F.col("token") < zone_end(percent))
+    enough = ~inside | ((100 + percent) * (ahead + behind) >= percent * (F.col("size_a") + F.col("size_b")))
+    once = (F.col("root_b") == F.col("most_b")) | (F.col("doc_a") < F.col("doc_b"))
+    pairs = left.join(right, "token").where((F.col("root_a") != F.col("root_b")) & once & enough & room("a", "b", percent) & meet("a", "b"))
+    links, links_path = verified(pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct(), known, n, percent, words_of)
+    drop(spark, rooted_path, open_path)
     return links, links_path
 
 
@@ -216,57 +267,47 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Cal
     and links with nothing. A null doc_id links with nothing and has a null component_id. Rows that repeat a
     doc_id are one document with the links of all their texts. Other columns are ignored. The components are exact,
     but not every link is looked for: candidates within a component that earlier links made aren't compared.
-    ``jaccard_links`` finds and counts all links.
+    ``jaccard_links`` finds and counts all links. Shingles are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
     texts = documents(docs)
-    rows, rows_path = stored(sketch(texts, n, words_of), "sets")
-    shared = spark.sparkContext.broadcast(magnitudes(merged_counters(rows.where("counters is not null").select("counters"))))
-    rows = rows.where("counters is null").drop("counters")
+    rows, rows_path = stored(profiles(texts, n, percent, words_of), "sets")
     keys = ["k1", "k2", "size"]
-    classes, classes_path = stored(rows.where("size > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
+    classes, classes_path = stored(first_members(rows), "classes")
+    sets, sets_path = shared_prefixes(rows, classes, percent)
     known = texts.where("doc_id is not null")
-    reps = classes.select(F.col("rep").alias("doc")).distinct()
-    every, every_path = stored(prefixes(known, n, percent, words_of, shared), "prefixes")
-    sets, sets_path = stored(every.join(reps, "doc", "left_semi"), "prefixes")
-    drop(spark, every_path)
-    free_shuffles(spark)
-
-    stars, long_enough = None, 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
-    for k in range(LEADERS):
-        leaders = sets.groupBy(f"h{k}").agg(F.min(F.struct("doc", "size")).alias("l")).select(f"h{k}", F.col("l.doc").alias("b"), F.col("l.size").alias("size_b"))
-        own = sets.select(f"h{k}", F.col("doc").alias("a"), "size").join(leaders, f"h{k}").where((F.col("a") != F.col("b")) & long_enough).select("a", "b")
-        stars = own if stars is None else stars.unionByName(own)
-    links, links_path = verified(close_enough(stars.distinct(), sets, percent), known, n, percent, words_of, shared)
+    links, links_path = leader_links(sets, known, n, percent, words_of)
     # a doc_id with several texts joins their classes
     linked = rows.where("size > 0 and doc_id is not null").select("doc_id", *keys).distinct()
     twice = linked.groupBy("doc_id").count().where("count > 1").select("doc_id")
     same = linked.join(twice, "doc_id", "left_semi").join(classes, keys).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found, found_path = components(links.unionByName(same))
-
-    rest, rest_path = links_between(sets, found, known, n, percent, words_of, shared)
-    final, final_path = components(rest.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(spark, sets_path, found_path, links_path, rest_path)
+    rest, rest_path = links_between(sets, found, known, n, percent, words_of)
+    final, _ = components(rest.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    drop(spark, sets_path, links_path, found_path, rest_path)
     free_shuffles(spark)
 
     groups = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("root", "rep").alias("root"))
-    return rows.join(groups, keys, "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    return rows.select("doc_id", *keys).join(groups, keys, "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def first_members(rows: DataFrame) -> DataFrame:
+    """(k1, k2, size, rep, row): of each set, the smallest doc_id that has it and that document's row."""
+    known = rows.where("size > 0 and doc_id is not null")
+    return known.groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("rep"), F.min_by("row", F.struct("doc_id", "row")).alias("row"))
 
 
 def class_links(texts: DataFrame, n: int, percent: int, words_of: Callable = space_words) -> tuple[DataFrame, DataFrame]:
     """Of texts with distinct doc_ids that aren't null: (doc_id, rep), rep standing for the documents of an equal set,
     and every link (a, b), a < b, between different sets, by what stands for them."""
     spark = texts.sparkSession
-    rows, _ = stored(sketch(texts, n, words_of), "sets")
-    shared = spark.sparkContext.broadcast(magnitudes(merged_counters(rows.where("counters is not null").select("counters"))))
-    rows, keys = rows.where("counters is null and size > 0"), ["k1", "k2", "size"]
-    classes, _ = stored(rows.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    sets, sets_path = stored(prefixes(texts.join(reps, "doc_id", "left_semi"), n, percent, words_of, shared), "prefixes")
-    links, _ = links_between(sets, spark.createDataFrame([], "node long, root long"), texts, n, percent, words_of, shared)
+    rows, _ = stored(profiles(texts, n, percent, words_of), "sets")
+    classes, _ = stored(first_members(rows), "classes")
+    sets, sets_path = shared_prefixes(rows, classes, percent)
+    links, _ = links_between(sets, spark.createDataFrame([], "node long, root long"), texts, n, percent, words_of)
     drop(spark, sets_path)
     free_shuffles(spark)
-    return rows.join(classes, keys).select("doc_id", "rep"), links
+    return rows.join(classes.drop("row"), ["k1", "k2", "size"]).select("doc_id", "rep"), links
 
 
 def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, words_of: Callable = space_words) -> DataFrame:

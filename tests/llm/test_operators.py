@@ -454,14 +454,6 @@ def test_jaccard_links_within_components(spark):
     assert want[3] > 20 and want[301] > 20 and want[302] == 2
 
 
-def test_counters_merge_as_a_tree(spark, odd, monkeypatch):
-    docs = frame(spark, odd).select("doc_id", "text").repartition(9)
-    parts = J.sketch(docs, 3, J.space_words).where("counters is not null").select("counters")
-    flat = J.merged_counters(parts)
-    monkeypatch.setattr(J, "FANIN", 2)
-    assert (J.merged_counters(parts) == flat).all() and flat.sum() > 0
-
-
 def test_components(spark):
     r = random.Random(7)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)]
