@@ -3,8 +3,10 @@
 Every document is cut into full windows and one tail. The histogram of all tails (at most window - 1 lengths)
 decides the recipe: shallow combinations of lengths that fill a window, whose repeat counts are the solution of
 a non-negative least squares problem against the histogram. Each block of documents applies its share of the
-recipe to its own tails, rounded to what it has, and packs the tails that are left greedily, cutting them where
-a window is full. The end of that rest is cut into powers of two, which take no padding.
+recipe to its own tails. A share is rounded up or down by a number that depends on the block and the combination,
+so that over all blocks the rounded counts add up to the recipe's, however small the blocks are. The residual is
+packed greedily: by the recipe's combinations as long as their lengths are there, then longest first, cutting a
+tail where a window is full. The end of that rest is cut into powers of two, which take no padding.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, scratch
-from .tokens import PieceEncoder
+from .tokens import encoder
 
 BLOCK_IDS = 1 << 22
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -76,8 +78,9 @@ def recipe_of(histogram: np.ndarray, window: int) -> list[tuple[tuple[int, ...],
     return [(combo, float(v)) for combo, v in zip(found, x, strict=True) if v > 1e-6]
 
 
-def pack_block(lengths: np.ndarray, recipe, share: float, window: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of a block's documents, sequences from 0."""
+def pack_block(lengths: np.ndarray, recipe, share: float, window: int, seed: int = 0) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Pieces (document, start, length, sequence, offset) of a block's documents, sequences from 0; and how many
+    sequences follow a combination of the recipe."""
     out, sequence = [], 0
     have: dict[int, list[int]] = defaultdict(list)
     for d, n in enumerate(lengths.tolist()):
@@ -86,10 +89,14 @@ def pack_block(lengths: np.ndarray, recipe, share: float, window: int) -> list[t
             sequence += 1
         if n % window:
             have[n % window].append(d)
-    for combo, count in sorted(recipe, key=lambda r: -r[1]):
-        repeat = round(count * share)
-        need = {k: combo.count(k) for k in combo}
-        repeat = min([repeat, *(len(have[k]) // v for k, v in need.items())])
+    full = sequence
+    rounding = np.random.default_rng(seed).random(len(recipe)).tolist()
+    order = sorted(range(len(recipe)), key=lambda i: -recipe[i][1])
+    planned = [(recipe[i][0], int(recipe[i][1] * share + rounding[i])) for i in order]
+    for combo, most in planned + [(recipe[i][0], len(lengths)) for i in order]:
+        if not most or not all(have.get(k) for k in combo):
+            continue
+        repeat = min([most, *(len(have[k]) // combo.count(k) for k in set(combo))])
         for _ in range(repeat):
             offset = 0
             for k in combo:
@@ -97,6 +104,7 @@ def pack_block(lengths: np.ndarray, recipe, share: float, window: int) -> list[t
                 out.append((d, int(lengths[d]) - k, k, sequence, offset))
                 offset += k
             sequence += 1
+    combined = sequence - full
     # longest first: a whole tail where one fills what is left, else the next, cut
     have = {k: ds for k, ds in have.items() if ds}
     order = sorted(have)
@@ -120,21 +128,21 @@ def pack_block(lengths: np.ndarray, recipe, share: float, window: int) -> list[t
             start, k, offset = start + take, k - take, offset + take
             if offset == room:
                 sequence, offset, room = sequence + 1, 0, next(sizes, 0)
-    return out
+    return out, combined
 
 
-def store_ids(docs: DataFrame, tokenizer: str, window: int, end: int, drops_space: bool, path: str) -> None:
+def store_ids(docs: DataFrame, tokenizer: str, window: int, end: int, path: str) -> None:
     def encode(batches):
-        encoder = PieceEncoder(tokenizer, drops_space)
+        ids_of = encoder(tokenizer).ids
         for batch in batches:
-            ids = [encoder.ids(t, end) for t in batch.column("text").to_pylist()]
+            ids = [ids_of(t, end) for t in batch.column("text").to_pylist()]
             tails = pa.array([len(x) % window for x in ids], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), tails], schema=STORE_ARROW)
 
     documents(docs).mapInArrow(encode, STORE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, drops_space: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` tokens.
 
     One row per piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens (with the end
@@ -145,7 +153,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end: int
     """
     spark = docs.sparkSession
     path = scratch(spark, "packing-ids")
-    store_ids(docs, tokenizer, window, end, drops_space, path)
+    store_ids(docs, tokenizer, window, end, path)
     ids = spark.read.schema(STORE_SCHEMA).parquet(path)
     histogram = np.zeros(window, np.int64)
     for r in ids.where("tail > 0").groupBy("tail").count().collect():
@@ -157,7 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end: int
 
         def flush():
             lengths = np.array([len(x) for x in held])
-            pieces = pack_block(lengths, recipe, int((lengths % window > 0).sum()) / tails, window)
+            pieces, _ = pack_block(lengths, recipe, int((lengths % window > 0).sum()) / tails, window, (task << 20) + block)
             d, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
             crc = [zlib.crc32(held[i][a : a + n].astype("<u4").tobytes()) for i, a, n in zip(d, start, length, strict=True)]
             doc_ids = pa.array(names, pa.int64()).take(pa.array(d))

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, scratch
-from .tokens import PieceEncoder
+from .tokens import encoder
 
 #: Ids in a word and the width of each, by selector.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([n for n, _ in SELECTORS])
+#: Bits of each number below 2**13.
+WIDTHS = np.array([k.bit_length() for k in range(1 << 13)], np.uint8)
 ESCAPE_FROM = 12
 FRAME = 64
 BLOCK_IDS = 1 << 16
@@ -53,19 +55,27 @@ def pack(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64)
-    widths = np.zeros(n, np.int8)
-    left = values.astype(np.uint64)
-    while left.any():
-        widths += left > 0
-        left = left >> np.uint64(1)
-    choice = np.full(n, 15, np.int8)
+    v = values.astype(np.uint64)
+    if v.max() < len(WIDTHS):
+        widths = WIDTHS[v.astype(np.int64)]
+    else:
+        widths, left = np.zeros(n, np.uint8), v.copy()
+        while left.any():
+            widths += left > 0
+            left >>= np.uint64(1)
+    # widest[p][i]: the largest width from i on, of p (a power of two) values
+    widest, p = {1: widths}, 1
+    while 2 * p <= min(n, COUNTS[0]):
+        widest[2 * p] = np.maximum(widest[p][: n - 2 * p + 1], widest[p][p:])
+        p *= 2
+    choice = np.full(n, 15, np.uint8)
     for s in range(14, -1, -1):
         count, width = SELECTORS[s]
         if count > n:
             continue
-        wide = np.r_[0, np.cumsum(widths > width)]
-        fits = wide[count:] == wide[: n - count + 1]
-        choice[: n - count + 1][fits] = s
+        p = 1 << (count.bit_length() - 1)
+        wide = np.maximum(widest[p][: n - count + 1], widest[p][count - p : n - p + 1])
+        np.copyto(choice[: n - count + 1], np.uint8(s), where=wide <= width)
     steps, at, starts = COUNTS[choice].tolist(), 0, []
     while at < n:
         starts.append(at)
@@ -73,12 +83,13 @@ def pack(values: np.ndarray) -> np.ndarray:
     starts = np.array(starts)
     chosen = choice[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    v = values.astype(np.uint64)
     for s, (count, width) in enumerate(SELECTORS):
-        if width:
-            own = np.flatnonzero(chosen == s)
+        own = np.flatnonzero(chosen == s)
+        if width and len(own):
+            at, made = starts[own], words[own]
             for k in range(count):
-                words[own] |= v[starts[own] + k] << np.uint64(k * width)
+                made |= v[at + k] << np.uint64(k * width)
+            words[own] = made
     return words
 
 
@@ -98,11 +109,12 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 def encode_block(ids: np.ndarray) -> dict[str, bytes]:
-    seen, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    ranks = rank[inverse] if len(ids) else np.zeros(0, np.int64)
+    n = np.bincount(ids, minlength=1)  # as long as the vocabulary
+    seen = np.flatnonzero(n)
+    order = np.argsort(-n[seen], kind="stable")
+    rank = np.zeros(len(n), np.int64)
+    rank[seen[order]] = np.arange(len(order))
+    ranks = rank[ids]
     escaped = ranks + 1 >= 1 << ESCAPE_FROM
     words = pack(np.where(escaped, 0, ranks + 1))
     sizes = COUNTS[(words >> np.uint64(60)).astype(np.int64)]
@@ -122,7 +134,7 @@ def decode_block(words: bytes, dictionary: bytes, escapes: bytes, n: int) -> np.
     return np.frombuffer(dictionary, "<u4")[values]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 2, drops_space: bool = True, shard_bytes: int = 32 << 20) -> None:
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 2, shard_bytes: int = 32 << 20) -> None:
     """Encode every text and write the token files in ascending doc_id order (null ids first, then by text)."""
     texts = documents(docs)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -130,7 +142,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 2,
     ordered = texts.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def encode(batches):
-        encoder = PieceEncoder(tokenizer, drops_space)
+        ids_of = encoder(tokenizer).ids
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         docs_, parts, held = [], [], 0
 
@@ -146,7 +158,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 2,
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 docs_.append(doc)
-                parts.append(encoder.ids(text, end))
+                parts.append(ids_of(text, end))
                 held += len(parts[-1])
                 if held >= BLOCK_IDS:
                     yield flush()
@@ -188,7 +200,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).parquet(path).mapInArrow(decode, ROW_SCHEMA)
 
 
-def encode_tokens(docs: DataFrame, tokenizer: str, end: int = 2, drops_space: bool = True) -> DataFrame:
+def encode_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     """Write token files of all documents to the shared folder, and read them back.
 
     One row per row of ``docs``, as ``read_token_files`` gives them. Null and empty texts have the end id alone.
@@ -197,5 +209,5 @@ def encode_tokens(docs: DataFrame, tokenizer: str, end: int = 2, drops_space: bo
     """
     spark = docs.sparkSession
     path = scratch(spark, "token-files")
-    write_token_files(docs, tokenizer, path, end, drops_space)
+    write_token_files(docs, tokenizer, path, end)
     return read_token_files(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
 
@@ -36,46 +38,76 @@ def byte_letters() -> dict[int, str]:
 
 
 class Bounded(dict):
-    """key -> what ``make`` gives for it, remembered for a bounded number of short keys."""
+    """key -> what ``make`` gives for it, remembered for a bounded number of short keys: a young and an old half,
+    and what is asked for again before its half goes is kept."""
 
-    LIMIT, LONG = 500_000, 64
+    LIMIT, LONG = 300_000, 64
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.LONG:
             if len(self) >= self.LIMIT:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+#: How the two known kinds of vocabulary are set up; a file that says anything else goes through the library alone.
+SET_UP = {
+    True: {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    },
+    False: {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+}
+
+
 class PieceEncoder:
     """Text -> ids as unsigned 16-bit numbers (both kinds of vocabulary have less than 2**16 ids).
 
-    A text of common characters is cut at its spaces, each part into pre-tokens, and each pre-token is merged by the
-    tokenizer's model; what a part and a pre-token came to is remembered. Any other text goes through the whole
-    tokenizer. Special tokens' strings are ordinary text.
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: the string of a special token in a
+    text becomes its id, unless ``plain_specials`` makes it ordinary text. A text of common characters without such
+    a string is cut at its spaces, each part into pre-tokens, and each pre-token is merged by the tokenizer's model;
+    what a part and a pre-token came to is remembered. Any other text, and every text where the file's set-up is
+    neither of the two known, goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, drops_space: bool):
-        """drops_space: the vocabulary of words (lower case, white space in no token), else the byte-level one."""
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits are asked for")
-        self.drops_space, self.letters = drops_space, byte_letters()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        kind = [k for k, parts in SET_UP.items() if all(file.get(c) == v for c, v in parts.items())]
+        ends = {True: "</w>", False: None}
+        model = {k: v for k, v in file["model"].items() if k not in ("vocab", "merges", "type", "end_of_word_suffix")}
+        self.known = bool(kind) and file["model"]["type"] == "BPE" and file["model"].get("end_of_word_suffix") == ends[kind[0]] and not any(model.values()) and not file.get("post_processor")
+        self.drops_space = self.known and kind[0]
+        special = [] if plain_specials else [t["content"] for t in file["added_tokens"]]
+        self.whole = re.compile("|".join([UNCOMMON.pattern, *map(re.escape, special)])) if self.known else re.compile("")
+        self.letters = byte_letters()
         self.pieces = Bounded(self.merged)
-        self.parts = Bounded(self.cut if drops_space else lambda part: self.cut(" " + part))
+        self.parts = Bounded(self.cut if self.drops_space else lambda part: self.cut(" " + part))
 
     def merged(self, piece: str) -> bytes:
-        written = piece.encode().decode("latin-1").translate(self.letters)
+        written = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u2").tobytes()
 
     def cut(self, text: str) -> bytes:
@@ -87,7 +119,7 @@ class PieceEncoder:
         tail = np.array([end], "<u2")
         if not text:
             return tail
-        if UNCOMMON.search(text):
+        if self.whole.search(text):
             return np.r_[np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2"), tail]
         if self.drops_space:
             made = b"".join(map(self.parts.__getitem__, text.split()))
@@ -97,3 +129,9 @@ class PieceEncoder:
             first, *parts = text.split(" ")
             made = self.cut(first) + b"".join(map(self.parts.__getitem__, parts))
         return np.frombuffer(made + tail.tobytes(), "<u2")
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> PieceEncoder:
+    """A worker's encoder: what it remembers serves its next tasks as well."""
+    return PieceEncoder(path)

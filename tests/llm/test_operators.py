@@ -66,7 +66,7 @@ def test_token_files(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
+    odd = [*odd, (400, "a <|endoftext|> b"), (401, "<|startoftext|>")]
     got = S8.encode_tokens(frame(spark, odd), tokenizer_path("word_bpe_49k.json")).orderBy("start").collect()
     ids = [t.encode(x or "", add_special_tokens=False).ids + [2] for _, x in odd]
     want = Counter((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (d, _), i in zip(odd, ids, strict=True))
@@ -92,20 +92,53 @@ def test_simple8b():
     assert len(b["escapes"]) and (S8.decode_block(b["words"], b["dictionary"], b["escapes"], len(many)) == many).all()
 
 
-@pytest.mark.parametrize("name,drops", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
-def test_pieces(name, drops):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("plain", [False, True])
+def test_pieces(name, plain):
     from tokenizers import Tokenizer
 
-    t, e = Tokenizer.from_file(tokenizer_path(name)), PieceEncoder(tokenizer_path(name), drops)
-    t.encode_special_tokens = True
+    t, e = Tokenizer.from_file(tokenizer_path(name)), PieceEncoder(tokenizer_path(name), plain)
+    t.encode_special_tokens = plain
+    assert e.known and e.drops_space == name.startswith("word")
     r = random.Random(3)
-    letters = list("abcXYZ éÀßſŉİıµªº0129²½'’.,!?-_\n \t ­​日ΣςÁ") + ["'s", "'LL", "<|endoftext|>", "  ", "\n\n"]
-    common = list("ab cDÉß½ı² \n\n  ,.'!-_0129") + ["'s", "'LL", "word", " x", " \n "]
+    letters = list("abcXYZ éÀßſŉİıµªº0129²½'’.,!?-_\n \t ­​日ΣςÁ") + ["'s", "'LL", "<|endoftext|>", "<|startoftext|>", "  ", "\n\n"]
+    common = list("ab cDÉß½ı² \n\n  ,.'!-_0129") + ["'s", "'LL", "word", " x", " \n ", "<|endoftext|>", "<|"]
     for k in range(3000):
         x = "".join(r.choice(common if k % 3 else letters) for _ in range(r.randint(0, 30)))
         assert e.ids(x, 9).tolist() == t.encode(x, add_special_tokens=False).ids + [9], repr(x)
 
 
+def test_other_tokenizer_files(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        with open(tokenizer_path(name), encoding="utf-8") as f:
+            file = json.load(f)
+        file["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+        path = str(tmp_path / name)
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(file, f)
+        t, e = Tokenizer.from_file(path), PieceEncoder(path)
+        assert not e.known
+        for x in ("two words, It's", "", "a  b<|endoftext|>"):
+            assert e.ids(x, 9).tolist() == t.encode(x, add_special_tokens=False).ids + [9]
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    from sparkdex.llm.tokens import Bounded
+
+    monkeypatch.setattr(Bounded, "LIMIT", 5)
+    made = []
+    b = Bounded(lambda k: made.append(k) or k.encode())
+    r = random.Random(1)
+    for _ in range(500):
+        k = str(r.randint(0, 30))
+        assert b[k] == k.encode() and len(b) <= 5 and len(b.old) <= 5
+    assert b["x" * 65] == b"x" * 65 and "x" * 65 not in b and len(made) < 490
+
+
 def test_licenses(spark):
     rows = [(1, None), (2, ""), (3, "gnu general public license GNU General\nPublic License"), (4, "cc cc by cc by"), (5, "Licensed under CC BY-NC 4.0."), (6, "under the version 2.0 apache-license licensed"), (7, "all rights reserved"), (8, "rights of all"), (9, "x " * 50000 + "mit license"), (None, "mit license"), (4, "cc cc by cc by")]
     got = LI.license_scan(frame(spark, rows)).collect()
@@ -178,7 +211,7 @@ def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    odd = [*odd, (400, "a <|endoftext|> b")]
     ids = Counter(tuple(t.encode(x or "", add_special_tokens=False).ids + [1]) for _, x in odd)
     got = P.pack_documents(frame(spark, odd), tokenizer_path("byte_bpe_50k.json"), window=256).collect()
     assert sum(r.length for r in got) == sum(len(k) * n for k, n in ids.items())
@@ -212,6 +245,25 @@ def test_nnls():
     assert np.allclose(used, h, atol=0.5)
 
 
+def test_recipe_shapes_small_blocks():
+    window, rng = 256, np.random.default_rng(3)
+    lengths = rng.choice([40, 56, 60, 96, 100, 116, 120, 140, 156, 200, 216, 77, 83], 6400)
+    recipe = P.recipe_of(np.bincount(lengths, minlength=window), window)
+    share = {}
+    for blocks in (1, 32):
+        combined = total = 0
+        for k, own in enumerate(np.array_split(lengths, blocks)):
+            pieces, n = P.pack_block(own, recipe, len(own) / len(lengths), window, k)
+            by = defaultdict(list)
+            for d, start, length, sequence, offset in pieces:
+                by[sequence].append((offset, length))
+                assert 0 <= start and start + length <= own[d]
+            assert sum(x for p in by.values() for _, x in p) == own.sum()
+            combined, total = combined + n, total + len(by)
+        share[blocks] = combined / total
+    assert share[1] > 0.6 and share[32] > 0.9 * share[1]
+
+
 VDDL = "vec_id long, embedding array<float>, label int, rank int, v int, score string"
 
 
