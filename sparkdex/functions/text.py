@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,12 +54,26 @@ def min_length(cfg: Config) -> int:
     return cfg.min_term_length if cfg.min_term_length >= 1 else 2
 
 
+def _tree(words: list[str]) -> str:
+    """A regular expression of the words, by their first characters."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[:1], []).append(w[1:])
+    branches = [c if tails == [""] else c + _tree(tails) for c, tails in sorted(rest.items()) if c]
+    return f"(?:{'|'.join(branches)}){'?' * ('' in rest)}" if branches else ""
+
+
 def tokens(text: Column, cfg: Config = Config()) -> Column:
-    """Kept terms in order: their place in the array is their position. Null for a null text is an empty array."""
-    stop = sorted(stop_list(cfg))
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
-    terms = F.transform(runs, lambda x: F.lower(F.translate(x, "İΣ", "iσ")))
-    return F.filter(terms, lambda x: (F.char_length(x) >= min_length(cfg)) & ~x.isin(*stop) if stop else F.char_length(x) >= min_length(cfg))
+    """Kept terms in order: their place in the array is their position. Null for a null text is an empty array.
+
+    One regular expression over the lower-cased text: a run of letters and digits that is long enough and isn't a
+    stop word. No lower case changes what is a letter or digit, so the runs are those of the text itself.
+    """
+    n = min_length(cfg)
+    stop = sorted({w for w in stop_list(cfg) if len(w) >= n and all(c.isalpha() or unicodedata.category(c) == "Nd" for c in w)})
+    other = f"(?!{_tree(stop)}(?![\\p{{L}}\\p{{Nd}}]))" if stop else ""
+    folded = F.lower(F.translate(F.coalesce(text, F.lit("")), "İΣ", "iσ"))
+    return F.regexp_extract_all(folded, F.lit(rf"(?<![\p{{L}}\p{{Nd}}]){other}[\p{{L}}\p{{Nd}}]{{{n},}}"), F.lit(0))
 
 
 def normalized(body: Column) -> Column:
@@ -135,33 +150,24 @@ def content_hash(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
-def binary_bytes(data: bytes) -> bool:
-    """A NUL, invalid UTF-8, or over 30 in 100 control bytes, in the first SNIFFED_BYTES."""
-    head = data[:SNIFFED_BYTES]
-    if not head:
-        return False
-    if 0 in head:
-        return True
-    if len(data) > len(head):  # the cut may have split a character
-        for k in range(1, 4):
-            lead = head[-k]
-            if lead >= 0xC0:
-                width = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                head = head[:-k] if width > k else head
-                break
-            if lead < 0x80:
-                break
-    try:
-        head.decode("utf-8")
-    except UnicodeDecodeError:
-        return True
-    control = sum(b < 32 and not 9 <= b <= 13 or b == 127 for b in head)
-    return control * 100 > len(head) * 30
-
-
 def is_binary(data: str) -> Column:
-    @F.pandas_udf("boolean")
-    def test(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: b is not None and binary_bytes(bytes(b)))
-
-    return test(F.col(data))
+    """A NUL, invalid UTF-8, or over 30 in 100 control bytes, in the first SNIFFED_BYTES. Null isn't binary.
+
+    A character that the end of those bytes splits is left out of them.
+    """
+    whole = F.col(data)
+    head = F.substring(whole, 1, SNIFFED_BYTES)
+
+    def split(k: int) -> Column:
+        """Bytes to leave out if the k-th from the end begins a character, or ends one."""
+        if k > 3:
+            return F.lit(0)
+        byte = F.conv(F.hex(F.substring(whole, SNIFFED_BYTES + 1 - k, 1)), 16, 10).cast("int")
+        width = F.when(byte < 0xE0, 2).when(byte < 0xF0, 3).otherwise(4)
+        return F.when(byte >= 0xC0, F.when(width > k, k).otherwise(0)).when(byte < 0x80, 0).otherwise(split(k + 1))
+
+    kept = F.when(F.length(whole) > SNIFFED_BYTES, F.substring(whole, F.lit(1), F.lit(SNIFFED_BYTES) - split(1))).otherwise(head)
+    text = kept.cast("string")
+    control = F.length(text) - F.length(F.regexp_replace(text, r"[\x01-\x08\x0E-\x1F\x7F]", ""))
+    odd = (F.position(F.lit("\0"), text) > 0) | ~F.is_valid_utf8(text) | (control * 100 > F.length(kept) * 30)
+    return F.coalesce(odd, F.lit(False))

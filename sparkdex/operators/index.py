@@ -16,13 +16,20 @@ POSTINGS = "term string, doc_id string, tf int, positions array<int>"
 
 @dataclass(frozen=True)
 class Index:
-    """docs: DOCS, one row for each document. postings: POSTINGS, one row for each term of a document."""
+    """docs: DOCS, one row for each document. postings: POSTINGS, one row for each term of a document.
+    texts: where the documents are at hand, DOCS with their tokens; queries are then answered row by row."""
 
     docs: DataFrame
     postings: DataFrame
+    texts: DataFrame | None = None
 
     def terms(self) -> DataFrame:
         """(term, doc_freq, total_freq): always recomputed from postings, never summed from parts."""
+        if self.texts is not None:
+            # a document's tokens, and each of its terms once
+            both = F.explode(F.array(F.struct(F.col("tokens").alias("t"), F.lit(0).alias("docs")), F.struct(F.array_distinct("tokens").alias("t"), F.lit(1).alias("docs"))))
+            rows = self.texts.select(both.alias("x")).select("x.docs", F.explode("x.t").alias("term"))
+            return rows.groupBy("term").agg(F.sum("docs").cast("int").alias("doc_freq"), F.sum(1 - F.col("docs")).alias("total_freq"))
         return self.postings.groupBy("term").agg(F.count("*").cast("int").alias("doc_freq"), F.sum("tf").alias("total_freq"))
 
     def of_term(self, term: str) -> DataFrame:
@@ -54,17 +61,28 @@ def tokenized(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     return documents.withColumn("tokens", tokens(F.col("body"), cfg))
 
 
+def once(column: Column) -> Column:
+    """A column that later filters and projections can't copy, so that it is computed once for each row."""
+    return F.explode(F.array(column))
+
+
 def build(documents: DataFrame, cfg: Config = Config()) -> Index:
     """From documents of distinct ids, with a body or, already, tokens.
 
-    A document's postings come from its own row: its (term, position) pairs are sorted and cut into runs by
-    whole-array functions, so nothing is shuffled.
+    Documents are dealt by id before they are tokenized: what is shuffled is texts, and a document's postings are
+    then grouped where it is.
     """
-    rows = documents if "tokens" in documents.columns else tokenized(documents, cfg)
-    docs = rows.select("doc_id", F.size("tokens").alias("length"), "fields", "title", "content_hash")
-    exploded = rows.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+    columns = ["doc_id", "fields", "title", "content_hash"]
+
+    def with_tokens(rows: DataFrame) -> DataFrame:
+        own = rows if "tokens" in rows.columns else tokenized(rows, cfg)
+        return own.select(*columns, once(F.col("tokens")).alias("tokens"))
+
+    texts = with_tokens(documents).withColumn("length", F.size("tokens"))
+    exploded = with_tokens(documents.repartition("doc_id")).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
     postings = exploded.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(docs, postings.select("term", "doc_id", "tf", "positions"))
+    docs = texts.select("doc_id", "length", "fields", "title", "content_hash")
+    return Index(docs, postings.select("term", "doc_id", "tf", "positions"), texts.select("doc_id", "length", "fields", "title", "content_hash", "tokens"))
 
 
 def upsert(index: Index, documents: DataFrame, cfg: Config = Config()) -> Index:

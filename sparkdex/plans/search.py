@@ -1,8 +1,8 @@
 """Queries over an index: which documents match, how they rank, their facets and a page of them.
 
-The postings of all the query's words are read once and gathered by document; every term and phrase clause is
-then an expression over a document's own words, so that a query costs one shuffle of its words' postings,
-however many clauses it has.
+Every term and phrase clause is an expression over the positions of the query's words in a document. Where the
+documents' tokens are at hand, these are found in each row, and nothing is shuffled; else the postings of all the
+query's words are read once and gathered by document.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.index import Index
+from ..operators.index import Index, once
 from .query import Clause, Query, parse
 
 K1, B = 1.2, 0.75
@@ -45,20 +45,25 @@ def _positions(word: str) -> Column:
     return F.try_element_at("__words", F.lit(word))
 
 
+def _moved(positions: Column, k: int) -> Column:
+    return F.transform(positions, lambda x: x - k)
+
+
+def _places(word: str) -> Column:
+    """Where a document's tokens are the word."""
+    return F.array_compact(F.transform("tokens", lambda x, i: F.when(x == word, i)))
+
+
 def phrase_frequency(words: tuple[str, ...]) -> Column:
     """Number of positions where the words stand one after another, overlaps included; 0 for none."""
     first = _positions(words[0])
     if len(words) == 1:
         return F.coalesce(F.size(first), F.lit(0))
-    rest = [(k, F.coalesce(_positions(w), F.array().cast("array<int>"))) for k, w in enumerate(words) if k]
-
-    def follows(s: Column) -> Column:
-        held = F.lit(True)
-        for k, positions in rest:
-            held = held & F.array_contains(positions, s + k)
-        return held
-
-    return F.coalesce(F.size(F.filter(first, follows)), F.lit(0))
+    starts = first
+    for k, w in enumerate(words):
+        if k:
+            starts = F.array_intersect(starts, _moved(F.coalesce(_positions(w), F.array().cast("array<int>")), k))
+    return F.coalesce(F.size(starts), F.lit(0))
 
 
 def matches_clause(c: Clause) -> tuple[Column, Column]:
@@ -73,19 +78,24 @@ def selected(index: Index, query: Query, filters: dict[str, str] | None = None)
     """Matching documents with ``freq`` (summed over positive clauses) and ``__words`` (word -> positions)."""
     clauses = [c for c in query.clauses if not c.empty]
     words = sorted({w for c in clauses if not c.field for w in c.words})
-    docs = index.docs
+    docs = index.docs if index.texts is None else index.texts
     for name, value in (filters or {}).items():
         docs = docs.where(field_value(name) == value)
     for c in clauses:
         if c.field:
             held = matches_clause(c)[0]
             docs = docs.where(~held if c.negate else held)
-    if words:
+    needed = {w for c in clauses if not c.negate and not c.field for w in c.words}
+    if not words:
+        rows = docs.withColumn("__words", F.lit(None).cast("map<string,array<int>>"))
+    elif index.texts is not None:
+        for w in sorted(needed):
+            docs = docs.where(F.array_contains("tokens", w))
+        rows = docs.withColumn("__words", once(F.map_from_arrays(F.array(*map(F.lit, words)), F.array(*map(_places, words)))))
+    else:
         own = index.postings.where(F.col("term").isin(words)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("__words"))
-        needed = any(not c.negate and not c.field for c in clauses)
         rows = docs.join(own, "doc_id", "inner" if needed else "left")
-    else:
-        rows = docs.withColumn("__words", F.lit(None).cast("map<string,array<int>>"))
+    rows = rows.drop("tokens")
     freq = F.lit(0)
     for c in clauses:
         if c.field:
@@ -102,18 +112,26 @@ def weighed_words(query: Query) -> list[str]:
     return [w for c in query.clauses if not c.negate and not c.field for w in c.words]
 
 
+def statistics(index: Index, words: list[str]) -> tuple[int, float, dict[str, int]]:
+    """Documents, their mean length, and in how many of them each word is."""
+    if index.texts is not None:
+        counts = [F.count_if(F.array_contains("tokens", w)) for w in words]
+        n, mean, *df = index.texts.agg(F.count("*"), F.avg("length"), *counts).first()
+        return n, float(mean or 0.0), dict(zip(words, df, strict=True))
+    found = index.postings.where(F.col("term").isin(words)).groupBy("term").count().collect()
+    return *index.totals(), {r["term"]: r["count"] for r in found}
+
+
 def scored(index: Index, query: Query, rows: DataFrame) -> DataFrame:
     """With ``score``: BM25 over corpus-wide statistics (before filters), added up in clause-then-word order."""
     words = weighed_words(query)
     score = F.lit(0.0)
     if words:
-        n, mean = index.totals()
-        found = index.postings.where(F.col("term").isin(sorted(set(words)))).groupBy("term").count().collect()
-        df = {r["term"]: r["count"] for r in found}
+        n, mean, df = statistics(index, sorted(set(words)))
         mean = mean if mean > 0 else 1.0
         length = F.when(F.col("length") > 0, F.col("length").cast("double")).otherwise(F.lit(mean))
         for w in words:
-            if w not in df:
+            if not df.get(w):
                 continue
             tf = F.coalesce(F.size(_positions(w)), F.lit(0)).cast("double")
             idf = F.log(1 + (F.lit(float(n)) - F.lit(float(df[w])) + 0.5) / (F.lit(float(df[w])) + 0.5))

@@ -22,10 +22,11 @@ def made(spark, rows):
     return build(spark.createDataFrame([(d, t.split(), f, d, d) for d, t, f in rows], TOKENS))
 
 
-@pytest.fixture(scope="module")
-def index(spark):
+@pytest.fixture(scope="module", params=["stored", "texts"])
+def index(spark, request):
+    """An index of postings alone, as it is read from a generation, and one with its documents at hand."""
     i = made(spark, CORPUS)
-    return Index(i.docs.cache(), i.postings.cache())
+    return Index(i.docs.cache(), i.postings.cache()) if request.param == "stored" else i
 
 
 QUERIES = {

@@ -16,6 +16,9 @@ def test_tokens(spark):
         ("İstanbul ΟΔΟΣ", Config(), ["istanbul", "οδοσ"]),
         ("x1 v2 é", Config(min_term_length=1), ["x1", "v2", "é"]),
         ("alpha Beta the", Config(stopwords=(" BETA ",)), ["alpha", "the"]),
+        ("them the then themes he her", Config(), ["themes"]),
+        ("a I you yo", Config(min_term_length=3, stopwords=("yo", "b-c")), ["you"]),
+        ("ǅ Ⅷ x² ١٢ 日本 ÅΣΑΣ", Config(stopwords=("zz",)), ["١٢", "日本", "åσασ"]),
         ("", Config(), []),
         (None, Config(), []),
     ]
@@ -65,12 +68,32 @@ def test_kinds(spark):
     assert T.supported_extension("PY") and T.supported_extension(".md") and not T.supported_extension("bin")
 
 
-def test_binary():
-    assert not T.binary_bytes(b"") and not T.binary_bytes(b"text\n\t\f") and T.binary_bytes(b"a\0b") and T.binary_bytes(b"\xff\xfe")
-    assert T.binary_bytes(b"\x01" * 31 + b"a" * 69) and not T.binary_bytes(b"\x01" * 30 + b"a" * 70)
-    cut = b"a" * 7999 + "é".encode() + b"b"
-    assert not T.binary_bytes(cut)
-    assert T.binary_bytes(b"a" * 100 + b"\xc3")
+def test_binary(spark):
+    e = "é".encode()
+    cases = {
+        b"": False,
+        b"text\n\t\f": False,
+        b"a\0b": True,
+        b"\xff\xfe": True,
+        b"\x01" * 31 + b"a" * 69: True,
+        b"\x01" * 30 + b"a" * 70: False,
+        b"\x7f" * 31 + b"a" * 69: True,
+        b"a" * 7999 + e + b"b": False,
+        b"a" * 7998 + e + b"b": False,
+        b"a" * 7998 + "日".encode() + b"b": False,
+        b"a" * 7997 + "😀".encode() + b"b": False,
+        b"a" * 7997 + b"\xf0\x9f\x98": True,
+        b"a" * 7997 + b"\x98\x98\x98": True,
+        b"a" * 7996 + b"\x98\x98\x98\x98b": True,
+        b"a" * 7999 + b"\xc3": True,
+        b"a" * 100 + b"\xc3": True,
+        b"a" * 8000 + b"\0": False,
+        b"\x01" * 2400 + b"a" * 5600 + b"\x01" * 99: False,
+        b"\x01" * 2401 + b"a" * 5599 + b"a" * 999: True,
+    }
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(cases)] + [(99, None)], "i int, content binary")
+    got = {r.i: r.b for r in rows.select("i", T.is_binary("content").alias("b")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values()) and got[99] is False
 
 
 def test_globs():
