@@ -33,6 +33,8 @@ ZONE = 1.5
 #: Parity cells of a sketch; bits of a prefix's signature; orders beside the first.
 BITS, SIGNATURE, MORE_ORDERS = 1024, 128, 2
 WORDS_AT_ONCE = 200_000
+#: A leader of many sets meets them in so many tasks.
+SALTS = 16
 FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 3) % (1 << 64) for k in range(MORE_ORDERS)], np.uint64)
 
@@ -229,8 +231,10 @@ def leader_links(sets: DataFrame, known: DataFrame, n: int, percent: int, words_
     leaders = sets.select("doc", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("doc").alias("doc_b"))
     some = F.array_distinct(F.array(F.element_at("tokens", 1), F.element_at("tokens", -1), F.element_at("tokens", (F.size("tokens") / 2 + 1).cast("int"))))
     stars = sets.select("doc", F.explode(some).alias("token")).join(leaders, "token").where("doc != doc_b").select(F.col("doc").alias("doc_a"), "doc_b").distinct()
+    stars = stars.withColumn("salt", F.pmod(F.xxhash64("doc_a"), F.lit(SALTS)).cast("int"))
     facts = sets.select("doc", "size", "sketch")
-    near = stars.join(sided(facts, "a"), "doc_a").join(sided(facts, "b"), "doc_b").where(room("a", "b", percent))
+    own = sided(facts, "b").join(leaders.select("doc_b").distinct(), "doc_b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = stars.join(sided(facts, "a"), "doc_a").join(own, ["doc_b", "salt"]).where(room("a", "b", percent))
     return verified(near.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), known, n, percent, words_of)
 
 
