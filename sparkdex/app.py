@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from . import config
@@ -26,7 +27,7 @@ class App:
         try:
             m = store.load_manifest(cfg.output_path)
             if m.config_hash == config.digest(cfg) and m.cache:
-                path = f"{cfg.output_path}/{next(iter(m.cache)).split('/')[0]}"
+                path = f"{cfg.output_path}/{m.cache[0].path.split('/')[0]}"
         except EngineError:
             pass
         return changes.load_cache(self.spark, path, store.CACHED)
@@ -36,19 +37,18 @@ class App:
         cfg = config.load(root)
         read = files.contents(files.files(self.spark, cfg))
         known = self.cached(cfg)
-        documents = files.extract(read)
         columns = ["doc_id", "content_hash", "title", "fields", "tokens"]
-        ids = documents.select("doc_id", "content_hash").persist()
+        documents = files.extract(read).persist(StorageLevel.DISK_ONLY)  # each file is read once
         try:
-            hits = changes.cache_hits(ids, known).select(columns)
+            hits = changes.cache_hits(documents, known).select(columns)
             fresh = tokenized(changes.cache_misses(documents, known), cfg).select(columns)
-            entries = hits.unionByName(fresh).persist()
+            entries = changes.cache_put(hits, fresh).persist(StorageLevel.DISK_ONLY)
             try:
                 return store.publish(cfg, build(entries, cfg), entries)
             finally:
                 entries.unpersist()
         finally:
-            ids.unpersist()
+            documents.unpersist()
 
     def search(self, root: str, options: Options) -> Report:
         return search(store.load(self.spark, config.load(root))[0], options)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .index import last_wins
 
@@ -53,6 +54,6 @@ def load_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
             rows = rows.select(*wanted)
             rows.count()
             return rows
-    except (AnalysisException, Exception):  # noqa: B014
+    except (PySparkException, Py4JJavaError):  # what a missing or damaged file raises
         pass
     return spark.createDataFrame([], schema)

@@ -99,6 +99,22 @@ def add_postings(index: Index, docs: DataFrame, postings: DataFrame) -> Index:
     return merge(index, Index(filled.select(*index.docs.columns), kept))
 
 
+def rebuild(docs: DataFrame, postings: DataFrame) -> Index:
+    """An index from the rows of segments. Occurrences that came without positions stand after the document's last
+    located one, term by term; a document's length is the number of all its occurrences."""
+    placed = postings.where(F.size("positions") > 0).select("term", "doc_id", F.sort_array("positions").alias("positions"))
+    loose = postings.where((F.coalesce(F.size("positions"), F.lit(0)) <= 0) & (F.col("tf") > 0)).select("term", "doc_id", "tf")
+    ends = placed.groupBy("doc_id").agg((F.max(F.element_at("positions", -1)) + 1).alias("__end"))
+    earlier = F.sum("tf").over(Window.partitionBy("doc_id").orderBy("term").rowsBetween(Window.unboundedPreceding, -1))
+    first = (F.coalesce("__end", F.lit(0)) + F.coalesce(earlier, F.lit(0))).cast("int")
+    following = loose.join(ends, "doc_id", "left").withColumn("__first", first)
+    following = following.select("term", "doc_id", F.sequence(F.col("__first"), F.col("__first") + F.col("tf") - 1).alias("positions"))
+    found = placed.unionByName(following).select("term", "doc_id", F.size("positions").alias("tf"), "positions")
+    lengths = found.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("__length"))
+    whole = docs.join(lengths, "doc_id", "left").withColumn("length", F.coalesce("__length", F.lit(0))).select(*docs.columns)
+    return Index(whole, found)
+
+
 def merge(*indexes: Index) -> Index:
     """The union of indexes; of documents of one id, the last index's, with its postings alone."""
     docs = postings = None

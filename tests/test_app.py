@@ -103,25 +103,38 @@ def test_damage_is_found(app, tmp_path):
     m = app.index(root)
     with pytest.raises(NotFound):
         app.search(str(tmp_path / "docs"), Options("x"))
-    name = next(iter(m.segments[0].files))
+    name = m.files[0].path
     path = os.path.join(root, "sparkdex-out", name)
     whole = open(path, "rb").read()
     with open(path, "ab") as f:
         f.write(b"x")
     with pytest.raises(IntegrityError):
         app.search(root, Options("x"))
-    assert app.validate(root).problems == [f"{name}: digest mismatch"]
+    assert app.validate(root).problems == [f"{name}: content differs from its digest"]
     with open(path, "wb") as f:
         f.write(whole)
     os.makedirs(os.path.join(root, "sparkdex-out", store.STAGING))
     write(root, {config.FILE: b'{"min_term_length": 4}'})
     problems = app.validate(root).problems
-    assert any("configuration changed" in p for p in problems) and any("interrupted" in p for p in problems)
+    assert any("settings have changed" in p for p in problems) and any("cut off" in p for p in problems)
     bad = store.load_manifest(os.path.join(root, "sparkdex-out"))
     bad.segments.append(bad.segments[0])
     with pytest.raises(IntegrityError):
-        store.validate_manifest(os.path.join(root, "sparkdex-out"), bad)
-    assert store.check_file(root, "../x", "d") == "escapes the output directory" and store.check_file(root, "none", "d") == "missing"
+        store.ensure(store.manifest_problems(bad))
+    wrong = [str(p) for p in store.file_problems(app.spark, root, [store.File(x, "d") for x in ("../x", "", "none", "docs", "readme.txt")] + [store.File("readme.txt", "")])]
+    assert [w.split(": ", 1)[1] for w in wrong] == ["a path that isn't below the output folder"] * 2 + ["there is no such file", "not a file", "content differs from its digest", "has no digest"]
+
+
+def test_one_segment(app, tmp_path):
+    root = str(tmp_path)
+    write(root, {f"d{k}.txt": f"word{k} shared".encode() for k in range(7)} | {config.FILE: b'{"segment_docs": 2}'})
+    m = app.index(root)
+    assert [(s.id, s.doc_count) for s in m.segments] == [(f"seg-000{k}", 2) for k in (1, 2, 3, 4)]  # the settings' file is a document
+    assert [s.term_count for s in m.segments[1:]] == [3, 3, 3]
+    i = store.read_segment(app.spark, config.load(root), "seg-0002")
+    assert sorted(r.doc_id for r in i.docs.collect()) == ["d1.txt", "d2.txt"] and i.term_count() == 3
+    with pytest.raises(NotFound):
+        store.read_segment(app.spark, config.load(root), "seg-9999")
 
 
 def test_publish_undone_on_failure(app, tmp_path, monkeypatch):
