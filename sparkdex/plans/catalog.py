@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import changes, stats
 from ..operators.index import Index, add_postings, build, merge, segment_terms, segmented
 from ..sources.tables import documents, table
+from . import cases
 from . import search as S
 from .query import parse
 
@@ -78,7 +79,7 @@ def doc_lookup(spark, sf_dir):
 
 
 def docs_sorted(spark, sf_dir):
-    return index(spark, sf_dir).docs.orderBy("doc_id").select("doc_id", "title", "length")
+    return index(spark, sf_dir).docs.orderBy("doc_id").select("doc_id", "length", "content_hash")
 
 
 def _parts(spark, sf_dir):
@@ -95,7 +96,7 @@ def merge_last_wins(spark, sf_dir):
 def add_postings_terms(spark, sf_dir):
     i = index(spark, sf_dir)
     again = add_postings(Index(i.docs.limit(0), i.postings.limit(0)), i.docs.withColumn("length", F.lit(0)), i.postings)
-    return again.docs.select("doc_id", "length")
+    return again.terms().join(again.docs.join(again.postings, "doc_id").groupBy("term").agg(F.sum("length").alias("lengths")), "term")
 
 
 def segment_assignment(spark, sf_dir):
@@ -203,21 +204,22 @@ def top_per_source(spark, sf_dir):
     return docs.withColumn("place", F.row_number().over(w)).where("place <= 3")
 
 
+#: query, filters; and, for the SQL, its clauses as they are meant: negated, field, words.
 HITS = {
-    "term_match": (ONE, None),
-    "and_match": (TWO, None),
-    "repeated_term": ("la la", None),
-    "negation": ("la -que", None),
-    "negation_only": ("-la", None),
-    "match_all": ("", None),
-    "phrase_two": (PHRASE, None),
-    "phrase_three": (THREE, None),
-    "phrase_overlap": ('"la la"', None),
-    "field_clause": ("lang:fr la", None),
-    "filter_exact": ("la", {"lang": "es"}),
-    "filter_missing": ("la", {"language": ""}),
+    "term_match": (ONE, None, [(False, "", ["que"])]),
+    "and_match": (TWO, None, [(False, "", ["que"]), (False, "", ["la"])]),
+    "repeated_term": ("la la", None, [(False, "", ["la"]), (False, "", ["la"])]),
+    "negation": ("la -que", None, [(False, "", ["la"]), (True, "", ["que"])]),
+    "negation_only": ("-la", None, [(True, "", ["la"])]),
+    "match_all": ("", None, []),
+    "phrase_two": (PHRASE, None, [(False, "", ["que", "la"])]),
+    "phrase_three": (THREE, None, [(False, "", ["la", "que", "la"])]),
+    "phrase_overlap": ('"la la"', None, [(False, "", ["la", "la"])]),
+    "field_clause": ("lang:fr la", None, [(False, "lang", ["fr"]), (False, "", ["la"])]),
+    "filter_exact": ("la", {"lang": "es"}, [(False, "", ["la"])]),
+    "filter_missing": ("la", {"language": ""}, [(False, "", ["la"])]),
 }
-RANKED = {"bm25_term": (ONE, 0), "bm25_and": (TWO, 0), "bm25_phrase": (PHRASE, 0), "ranked_top10": (TWO, 10)}
+RANKED = {"bm25_term": (ONE, 0, "term_match"), "bm25_and": (TWO, 0, "and_match"), "bm25_phrase": (PHRASE, 0, "phrase_two"), "ranked_top10": (TWO, 10, "and_match")}
 
 
 def queries():
@@ -225,8 +227,8 @@ def queries():
     plain += [segment_assignment, segment_term_stats, term_postings, facet_one, facet_many, total_vs_page, stats_headline, stats_by_kind, stats_by_language]
     plain += [largest_docs, body_normalize, title_first_line, content_hash, kind_language, path_parts, watch_plan, cache_hits, cache_misses, cache_prune, top_per_source]
     found = {f.__name__: f for f in plain}
-    found |= {k: _hits(*v) for k, v in HITS.items()}
-    return found | {k: _ranked(*v) for k, v in RANKED.items()}
+    found |= {k: _hits(*v[:2]) for k, v in HITS.items()}
+    return found | {k: _ranked(*v[:2]) for k, v in RANKED.items()} | cases.queries()
 
 
 def _with() -> str:
@@ -244,37 +246,38 @@ posts AS (SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf, string_agg(CAST(
 """
 
 
-def _hits_sql(query: str, filters: dict[str, str] | None = None) -> str:
+def _hits_sql(name: str) -> str:
     """Clause by clause as sets: intersections of positive ones, differences of negative ones."""
+    _, filters, clauses = HITS[name]
     fields = {"lang": "lang", "source": "source", "kind": "'text'"}
     tables, parts, conditions, freq = [], [], [], ["0"]
-    for k, c in enumerate(parse(query).clauses):
-        if c.field:
-            conditions.append(f"{'NOT ' * c.negate}({fields.get(c.field, chr(39) * 2)} = '{c.value}')")
+    for k, (negated, field, words) in enumerate(clauses):
+        if field:
+            conditions.append(f"{'NOT ' * negated}({fields.get(field, chr(39) * 2)} = '{words[0]}')")
             continue
-        joins = "".join(f" JOIN toks b{j} ON b{j}.doc_id = a.doc_id AND b{j}.pos = a.pos + {j} AND b{j}.term = '{w}'" for j, w in enumerate(c.words) if j)
-        tables.append(f"c{k} AS (SELECT a.doc_id, count(*) AS f FROM toks a{joins} WHERE a.term = '{c.words[0]}' GROUP BY a.doc_id)")
-        if c.negate:
+        joins = "".join(f" JOIN toks b{j} ON b{j}.doc_id = a.doc_id AND b{j}.pos = a.pos + {j} AND b{j}.term = '{w}'" for j, w in enumerate(words) if j)
+        tables.append(f"c{k} AS (SELECT a.doc_id, count(*) AS f FROM toks a{joins} WHERE a.term = '{words[0]}' GROUP BY a.doc_id)")
+        if negated:
             conditions.append(f"doc_id NOT IN (SELECT doc_id FROM c{k})")
         else:
             parts.append(f" JOIN c{k} USING (doc_id)")
             freq.append(f"c{k}.f")
-    for name, value in (filters or {}).items():
-        conditions.append(f"{fields.get(name, chr(39) * 2)} = '{value}'")
+    for field, value in (filters or {}).items():
+        conditions.append(f"{fields.get(field, chr(39) * 2)} = '{value}'")
     where = f" WHERE {' AND '.join(conditions)}" if conditions else ""
     hits = f"hits AS (SELECT doc_id, lang, source, length, CAST({' + '.join(freq)} AS INTEGER) AS freq FROM lengths{''.join(parts)}{where})"
     return _with() + "".join(f", {t}" for t in tables) + f", {hits}\n"
 
 
-def _ranked_sql(query: str, limit: int = 0) -> str:
+def _ranked_sql(limit: int, name: str) -> str:
     terms = []
-    for w in S.weighed_words(parse(query)):
+    for w in (w for negated, field, words in HITS[name][2] if not negated and not field for w in words):
         df = f"(SELECT count(*) FROM posts WHERE term = '{w}')"
         tf = f"(SELECT coalesce(max(tf), 0) FROM posts p WHERE p.term = '{w}' AND p.doc_id = hits.doc_id)"
         n, mean = "(SELECT count(*) FROM lengths)", "(SELECT avg(length) FROM lengths)"
         terms.append(f"ln(1 + ({n} - {df} + 0.5) / ({df} + 0.5)) * ({tf} * 2.2) / ({tf} + 1.2 * (0.25 + 0.75 * length / {mean}))")
     select = f"SELECT doc_id, freq, round(CAST({' + '.join(terms)} AS DOUBLE), 6) AS score FROM hits"
-    return _hits_sql(query) + select + (f" ORDER BY score DESC, freq DESC, doc_id LIMIT {limit}" if limit else "")
+    return _hits_sql(name) + select + (f" ORDER BY score DESC, freq DESC, doc_id LIMIT {limit}" if limit else "")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -304,16 +307,16 @@ def oracle_sql() -> dict[str, str]:
         "doc_lengths": w + "SELECT doc_id, length FROM lengths",
         "corpus_totals": w + "SELECT count(*) AS n_docs, CAST(sum(length) AS BIGINT) AS n_tokens, round(avg(length), 6) AS mean_length FROM lengths",
         "doc_lookup": w + "SELECT doc_id, length, sha256(body) AS content_hash FROM lengths JOIN docs USING (doc_id) WHERE doc_id = (SELECT min(doc_id) FROM docs)",
-        "docs_sorted": w + "SELECT doc_id, '' AS title, length FROM lengths ORDER BY doc_id",
+        "docs_sorted": w + "SELECT doc_id, length, sha256(body) AS content_hash FROM lengths JOIN docs USING (doc_id) ORDER BY doc_id",
         "merge_last_wins": w + f", {merged}, c AS (SELECT doc_id, term, count(*) AS tf FROM both_t GROUP BY doc_id, term) SELECT term, CAST(count(*) AS INTEGER) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_freq FROM c GROUP BY term",
-        "add_postings_terms": w + "SELECT doc_id, length FROM lengths",
+        "add_postings_terms": w + "SELECT term, CAST(count(*) AS INTEGER) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_freq, CAST(sum(length) AS BIGINT) AS lengths FROM posts JOIN lengths USING (doc_id) GROUP BY term",
         "segment_assignment": w + f", {segments} SELECT doc_id, segment FROM numbered",
         "segment_term_stats": w + f", {segments} SELECT segment, term, CAST(count(*) AS INTEGER) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_freq FROM posts JOIN numbered USING (doc_id) GROUP BY segment, term",
         "term_postings": w + f"SELECT term, doc_id, tf, positions FROM posts WHERE term = '{ONE}'",
-        "facet_one": _hits_sql(ONE) + "SELECT 'lang' AS field, coalesce(lang, '') AS value, count(*) AS count FROM hits GROUP BY lang",
+        "facet_one": _hits_sql("term_match") + "SELECT 'lang' AS field, coalesce(lang, '') AS value, count(*) AS count FROM hits GROUP BY lang",
         "facet_many": w
         + "SELECT 'lang' AS field, coalesce(lang, '') AS value, count(*) AS count FROM docs GROUP BY lang UNION ALL SELECT 'source', coalesce(source, ''), count(*) FROM docs GROUP BY source UNION ALL SELECT 'absent', '', count(*) FROM docs",
-        "total_vs_page": _hits_sql(ONE) + "SELECT count(*) AS total, least(count(*), 5) AS shown FROM hits",
+        "total_vs_page": _hits_sql("term_match") + "SELECT count(*) AS total, least(count(*), 5) AS shown FROM hits",
         "stats_headline": w + "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(DISTINCT term) FROM posts) AS terms, (SELECT CAST(sum(length) AS BIGINT) FROM lengths) AS tokens",
         "stats_by_kind": "SELECT 'text' AS value, count(*) AS count FROM documents",
         "stats_by_language": "SELECT coalesce(lang, '') AS value, count(*) AS count FROM documents GROUP BY lang",
@@ -330,5 +333,5 @@ def oracle_sql() -> dict[str, str]:
         "cache_prune": w + f", {cache} SELECT doc_id, CASE WHEN n % 10 % 3 = 0 THEN 'stale' ELSE content_hash END AS content_hash FROM cache WHERE doc_id LIKE 'en/%'",
         "top_per_source": w + "SELECT source, doc_id, length, place FROM (SELECT source, doc_id, length, CAST(row_number() OVER (PARTITION BY source ORDER BY length DESC, doc_id) AS INTEGER) AS place FROM lengths) WHERE place <= 3",
     }
-    found |= {k: _hits_sql(*v) + "SELECT doc_id, freq FROM hits" for k, v in HITS.items()}
-    return found | {k: _ranked_sql(*v) for k, v in RANKED.items()}
+    found |= {k: _hits_sql(k) + "SELECT doc_id, freq FROM hits" for k in HITS}
+    return found | {k: _ranked_sql(*v[1:]) for k, v in RANKED.items()} | cases.oracle_sql()
