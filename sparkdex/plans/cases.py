@@ -487,7 +487,7 @@ JSON_LINES = r"""{
       "score": 12,
       "freq": 0,
       "fields": {},
-      "snippet": "tick ` <b>"
+      "snippet": "tick ` \u003cb\u003e"
     }
   ],
   "facets": [
