@@ -1,18 +1,24 @@
 """Suffix dedup: remove what repeats a string of 50 bytes of an earlier document, one bucket of suffixes at a time.
 
-Only the first ``width`` bytes of a suffix matter, so the suffixes (windows) are grouped, not fully ordered.
+Only the first ``width`` bytes of a suffix (a window) matter, so ties are never longer than that.
 
 Cover sample. Every window contains one sampled position, chosen by its content: of the hashes of its TMER-byte
 strings the least is taken, and its place modulo STEP gives the sample (a mod-minimiser). Equal windows so have
-equal samples at equal places, and the sample (about one position in 15) covers all windows, as a difference
+equal samples at equal places, and the sample (about one position in 13) covers all windows, as a difference
 cover covers all pairs of suffixes.
 
-Buckets. The ANCHOR bytes at a sample name its suffix bucket. One range of buckets is handled at a time, so that
-what is shuffled at once is a fraction of the sample. A bucket within a single document ends there.
+Buckets. The ANCHOR bytes at a sample name its suffix bucket. Buckets are dealt to ranges; records travel as arrays,
+and a task sorts one range of buckets after the other, so its memory is that of one range. A bucket within a single
+document ends there.
 
 Ranks instead of long ties. Samples whose whole surroundings (all bytes that a window through them can have) are
 equal form a class, whose rank is its smallest doc_id: in every later document, all windows through the sample
-repeat. Only the first members of classes in buckets of several classes compare windows one by one.
+repeat. Only the first members of classes in buckets of several classes compare windows one by one, and these are
+sorted in ranges of their hashes in the same way.
+
+Many copies. Before records travel, those of one class (or one window) are put together: the ones of later documents
+are decided at once, so each batch sends a class once, however many documents share it. A bucket with many classes in
+a batch sends their windows to be compared, and a mark that makes the other batches do so as well.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +39,14 @@ TMER = 13
 TMERS = WIDTH - TMER + 1
 CHUNK = 1 << 15
 SIDE = WIDTH - ANCHOR
-BUCKET_RANGES = 3
+#: Records that are put together before they travel; records that a range is meant to hold, at most.
+BATCH, RANGE = 1 << 20, 1 << 21
+#: Classes of a bucket in a batch from which on they go on as windows.
+MANY = 64
 HIGH = np.uint64((1 << 64) - (1 << 24))
 BASE = 0x9E3779B97F4A7C15 | 1
 VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+FIRST, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 OUT_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -59,15 +70,28 @@ class Powers:
 
 
 class Hashes:
-    """Hashes of all substrings of some bytes, by sums of powers modulo 2**64."""
+    """Of some bytes: sums of powers modulo 2**64, which choose samples, and every eight bytes as a number."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = Powers.to(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(VALUES[data] * up[: len(data)], out=self.sums[1:])
 
-    def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+def eights(data) -> np.ndarray:
+    """The eight bytes from each place on (zeros after the end) as unsigned numbers."""
+    padded = bytes(data) + bytes(8)
+    return np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+
+
+def hashed(words: np.ndarray, start: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """64-bit hashes of the bytes from start + first to start + last: each word is mixed in by a product and a shift."""
+    h = np.full(len(start), np.uint64(seed * BASE & 0xFFFFFFFFFFFFFFFF))
+    for at in [*range(first, last - 8, 8), last - 8]:
+        h ^= words[start + at]
+        h *= np.uint64(BASE)
+        h ^= h >> np.uint64(32)
+    return mix(h)
 
 
 def samples(h: Hashes) -> np.ndarray:
@@ -119,9 +143,9 @@ def chunks(texts: list[bytes | None]):
 def sampled(texts: list[bytes | None]):
     """Per chunk: document, place, mask of windows (bit j: the window j bytes before), bucket and class of each sample."""
     for held in chunks(texts):
-        data = np.frombuffer(b"".join(s[2] for s in held), np.uint8)
-        h = Hashes(data)
-        at = samples(h)
+        joined = b"".join(s[2] for s in held)
+        data = np.frombuffer(joined, np.uint8)
+        at, words = samples(Hashes(data)), eights(joined)
         own = np.full(len(at), -1, np.int64)
         base, bounds = 0, []
         for d, low, part, a, b in held:
@@ -139,46 +163,12 @@ def sampled(texts: list[bytes | None]):
             ok = (i >= 0) & (i < len(own))
             mask[ok] |= (own[i[ok]] == p[ok]).astype(np.int64) << j
         low, high = np.maximum(p - SIDE, firsts[part]), np.minimum(p + WIDTH, lasts[part])
-        bucket = h.at(p, p + ANCHOR)
-        around = mix(h.at(low, high) + ((p - low) * 64 + (high - p)).astype(np.uint64))
-        yield docs[part], p + shifts[part], mask, bucket, around
-
-
-def occurrences(docs: DataFrame, bucket_range: int, ranges: int) -> DataFrame:
-    """(bucket, around, doc, h, place): the samples of a range of buckets; place holds the mask of windows."""
-    names = ["bucket", "around", "doc", "h", "place"]
-    schema = pa.schema([(c, pa.int64()) for c in names])
-
-    def run(batches):
-        for batch in batches:
-            ids, hs = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
-            for doc, p, mask, bucket, around in sampled(texts_of(batch)):
-                own = np.flatnonzero((bucket >> np.uint64(32)) % np.uint64(ranges) == bucket_range)
-                d = doc[own]
-                columns = (bucket[own].view(np.int64), around[own].view(np.int64), ids[d], hs[d], (p[own] << STEP) | mask[own])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
-
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def repeated_samples(docs: DataFrame, bucket_range: int, ranges: int) -> tuple[DataFrame, str]:
-    """(doc, h, place, bucket): of samples whose windows all repeat; with a bucket, of those to be compared."""
-    found, found_path = stored(occurrences(docs, bucket_range, ranges), "samples")
-    shared = found.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("around").alias("c0"), F.max("around").alias("c1"))
-    shared = shared.where("low < high").select("bucket", "low", (F.col("c0") != F.col("c1")).alias("mixed"))
-    shared, shared_path = stored(shared, "shared-buckets")
-    free_shuffles(docs.sparkSession)
-    rows, path = stored(found.join(shared.hint("shuffle_hash"), "bucket"), "shared-samples")
-    drop(docs.sparkSession, found_path, shared_path)
-    free_shuffles(docs.sparkSession)
-    plain = rows.where("not mixed and doc > low").select("doc", "h", "place", F.lit(None).cast("long").alias("bucket"))
-    several = rows.where("mixed")
-    ranks = several.groupBy("bucket", "around").agg(F.min("doc").alias("rank"))
-    several = several.join(ranks.hint("shuffle_hash"), ["bucket", "around"]).select("doc", "h", "place", F.when(F.col("doc") == F.col("rank"), F.col("bucket")).alias("bucket"))
-    out, out_path = stored(plain.unionByName(several), "repeated-samples")
-    drop(docs.sparkSession, path)
-    free_shuffles(docs.sparkSession)
-    return out, out_path
+        around = np.empty(len(p), np.uint64)
+        inner = (low == p - SIDE) & (high == p + WIDTH)
+        around[inner] = hashed(words, p[inner], -SIDE, WIDTH, 1)
+        for i in np.flatnonzero(~inner).tolist():  # at an end of a text
+            around[i] = xxhash.xxh3_64_intdigest(joined[low[i] : high[i]], seed=int(p[i] - low[i]) * 64 + int(high[i] - p[i]))
+        yield docs[part], p + shifts[part], mask, hashed(words, p, 0, ANCHOR, 2), around
 
 
 def windows_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,29 +178,180 @@ def windows_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (place >> STEP)[row] - j, row
 
 
-def compared_windows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(bucket, window, doc, h, start): the windows, by hash, of samples to be compared."""
-    names = ["bucket", "window", "doc", "h", "start"]
-    schema = pa.schema([(c, pa.int64()) for c in names])
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A value of each run, for all its members."""
+    return np.repeat(values, np.diff(np.r_[starts, n]))
+
 
-    def run(batches):
+class Records:
+    """Arrays of one length: two keys (unsigned), doc and h of a row, and a place."""
+
+    def __init__(self, k1, k2, doc, h, place):
+        self.columns = [k1.astype(np.uint64), k2.astype(np.uint64), *(np.asarray(x, np.int64) for x in (doc, h, place))]
+        self.k1, self.k2, self.doc, self.h, self.place = self.columns
+
+    def __len__(self) -> int:
+        return len(self.k1)
+
+    def at(self, rows) -> Records:
+        return Records(*(c[rows] for c in self.columns))
+
+    @classmethod
+    def joined(cls, parts: list[Records]) -> Records:
+        return cls(*(np.concatenate(c) for c in zip(*(p.columns for p in parts), strict=True)))
+
+    def to_bytes(self) -> bytes:
+        """Ids as differences: records come in the order of documents, and zeros cost little once compressed."""
+        less = lambda x: np.diff(x, prepend=0)
+        return b"".join(c.tobytes() for c in (self.k1, self.k2, less(self.doc), less(self.h), self.place))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Records:
+        x = np.frombuffer(data, np.int64).reshape(5, -1)
+        return cls(x[0].view(np.uint64), x[1].view(np.uint64), np.cumsum(x[2]), np.cumsum(x[3]), x[4])
+
+    def by_class(self) -> tuple[Records, np.ndarray, np.ndarray]:
+        """The records by class (k1, k2); where classes start; and the smallest doc of each record's class."""
+        own = self.at(np.argsort(self.k1 ^ mix(self.k2), kind="stable"))
+        starts = runs(own.k1, own.k2)
+        least = np.minimum.reduceat(own.doc, starts) if len(own) else own.doc
+        return own, starts, spread(least, starts, len(own))
+
+
+MOVED = "range int, data binary, doc long, h long, places array<long>, compare boolean"
+MOVED_ARROW = pa.schema([("range", pa.int32()), ("data", pa.binary()), ("doc", pa.int64()), ("h", pa.int64()), ("places", pa.list_(pa.int64())), ("compare", pa.bool_())])
+
+
+def sent(r: Records, ranges: int) -> pa.RecordBatch:
+    """A row for each range of first keys that there are records of."""
+    part = (r.k1 >> np.uint64(32)).astype(np.int64) % ranges
+    order = np.argsort(part, kind="stable")
+    starts = runs(part[order])
+    rows = [order[a:b] for a, b in zip(starts, np.r_[starts[1:], len(r)], strict=True)]
+    data = pa.array([r.at(x).to_bytes() for x in rows], pa.binary())
+    none = [pa.nulls(len(rows), f.type) for f in list(MOVED_ARROW)[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(part[[x[0] for x in rows]].astype(np.int32) if rows else [], pa.int32()), data, *none], schema=MOVED_ARROW)
+
+
+def decided(r: Records, compare: bool, ranges: int) -> pa.RecordBatch:
+    """A row for each document: places whose windows repeat, or are to be compared."""
+    own = r.at(np.lexsort((r.h, r.doc)))
+    starts = runs(own.doc, own.h)
+    places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(own)].astype(np.int32)), pa.array(own.place))
+    doc = own.doc[starts]
+    part = (mix(doc.view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(own.h[starts]), places, pa.array(np.full(len(doc), compare))], schema=MOVED_ARROW)
+
+
+def combined_samples(r: Records, ranges: int):
+    """Rows for a batch of samples: one record of each class travels, with what its document has more of it."""
+    own, starts, least = r.by_class()
+    yield decided(own.at(own.doc > least), False, ranges)
+    own = own.at(own.doc == least)
+    one = own.at(runs(own.k1, own.k2))
+    buckets, classes = np.unique(one.k1, return_counts=True)
+    many = buckets[classes > MANY]
+    if len(many):
+        yield decided(own.at(np.isin(own.k1, many)), True, ranges)
+        own = own.at(~np.isin(own.k1, many))
+        n = len(many)
+        marks = Records(np.repeat(many, 2), np.tile(np.array([0, 1], np.uint64), n), np.tile([FIRST, LAST], n), np.zeros(2 * n), np.full(2 * n, -1))
+        yield sent(marks, ranges)
+    own = own.at(np.argsort(own.doc, kind="stable"))
+    yield sent(own, ranges)
+
+
+def sorted_samples(r: Records, ranges: int):
+    """Rows for all samples of a range of buckets."""
+    own = r.at(np.argsort(r.k1, kind="stable"))
+    starts = runs(own.k1)
+    low, high = np.minimum.reduceat(own.doc, starts), np.maximum.reduceat(own.doc, starts)
+    mixed = np.minimum.reduceat(own.k2, starts) != np.maximum.reduceat(own.k2, starts)
+    shared, mixed, low = (spread(x, starts, len(own)) for x in (low < high, mixed, low))
+    real = own.place >= 0
+    yield decided(own.at(shared & ~mixed & (own.doc > low)), False, ranges)
+    own, _, least = own.at(shared & mixed & real).by_class()
+    yield decided(own.at(own.doc > least), False, ranges)
+    yield decided(own.at(own.doc == least), True, ranges)
+
+
+def combined_windows(r: Records, ranges: int):
+    """Rows for a batch of windows: each travels once, by its first document there."""
+    own, _, least = r.by_class()
+    yield decided(own.at(own.doc > least), False, ranges)
+    own = own.at(own.doc == least)
+    own = own.at(runs(own.k1, own.k2, own.h, own.place))
+    yield sent(own.at(np.argsort(own.doc, kind="stable")), ranges)
+
+
+def sorted_windows(r: Records, ranges: int):
+    own, _, least = r.by_class()
+    yield decided(own.at(own.doc > least), False, ranges)
+
+
+def moved(rows: DataFrame, records, combine, sort, ranges: int, name: str) -> tuple[DataFrame, str]:
+    """The records of rows, put together in batches, dealt by range, each range sorted alone; and the table's path."""
+
+    def first(batches):
+        held, size = [], 0
         for batch in batches:
-            for doc, hash_, text, places, buckets in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), texts_of(batch), batch.column("places"), batch.column("buckets"), strict=True):
-                start, row = windows_of(places.values.to_numpy())
-                # a long text is hashed stretch by stretch
-                order = np.argsort(start, kind="stable")
-                start, bucket = start[order], buckets.values.to_numpy()[row[order]]
-                window = np.empty(len(start), np.uint64)
-                for a in range(0, len(text), CHUNK):
-                    own = slice(*np.searchsorted(start, (a, a + CHUNK)))
-                    if own.stop > own.start:
-                        h = Hashes(np.frombuffer(text, np.uint8, min(len(text) - a, CHUNK + WIDTH), a))
-                        window[own] = h.at(start[own] - a, start[own] - a + WIDTH)
-                n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (bucket, window.view(np.int64), np.full(n, doc), np.full(n, hash_), start)], schema=schema)
-
-    grouped = firsts.groupBy("doc", "h").agg(F.collect_list(F.struct("place", "bucket")).alias("x")).select(F.col("doc").alias("doc_id"), "h", F.col("x.place").alias("places"), F.col("x.bucket").alias("buckets"))
-    return docs.join(grouped, ["doc_id", "h"]).select("doc_id", "h", "text", "places", "buckets").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+            for r in records(batch):
+                held.append(r)
+                size += len(r)
+                if size >= BATCH:
+                    yield from combine(Records.joined(held), ranges)
+                    held, size = [], 0
+        if size:
+            yield from combine(Records.joined(held), ranges)
+
+    def second(batches):
+        held, now = [], None
+        for batch in batches:
+            there = batch.column("data").is_valid()
+            done = batch.filter(pa.array(np.logical_not(there.to_numpy(zero_copy_only=False))))
+            if done.num_rows:
+                yield done
+            own = batch.filter(there)
+            for k, data in zip(own.column("range").to_pylist(), own.column("data"), strict=True):
+                if k != now:
+                    if held:
+                        yield from sort(Records.joined(held), ranges)
+                    held, now = [], k
+                held.append(Records.from_bytes(data.as_buffer()))
+        if held:
+            yield from sort(Records.joined(held), ranges)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.mapInArrow(first, MOVED).repartition(parts, "range").sortWithinPartitions("range")
+    out = stored(dealt.mapInArrow(second, MOVED).select("doc", "h", "places", "compare"), name)
+    free_shuffles(rows.sparkSession)
+    return out
+
+
+def sample_records(batch: pa.RecordBatch):
+    ids, hs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
+    for doc, p, mask, bucket, around in sampled(texts_of(batch)):
+        yield Records(bucket, around, ids[doc], hs[doc], (p << STEP) | mask)
+
+
+def window_records(batch: pa.RecordBatch):
+    """The windows of the places of each text, by two hashes."""
+    for doc, h, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), texts_of(batch), batch.column("places"), strict=True):
+        start = np.unique(windows_of(places.values.to_numpy())[0])
+        for a in range(0, len(text), 8 * CHUNK):  # a long text stretch by stretch
+            own = start[slice(*np.searchsorted(start, (a, a + 8 * CHUNK)))]
+            if len(own):
+                words = eights(text[a : a + 8 * CHUNK + WIDTH])
+                yield Records(hashed(words, own - a, 0, WIDTH, 3), hashed(words, own - a, 0, WIDTH, 4), np.full(len(own), doc), np.full(len(own), h), (own << STEP) | 1)
 
 
 def removal_spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +363,7 @@ def removal_spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], s[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]] + WIDTH
 
 
-def dedup_substrings(docs: DataFrame, ranges: int = BUCKET_RANGES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, ranges: int = 1) -> DataFrame:
     """Bytes of every document that a string of WIDTH bytes covers which also starts in a document of smaller id.
 
     One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the
@@ -230,33 +371,24 @@ def dedup_substrings(docs: DataFrame, ranges: int = BUCKET_RANGES) -> DataFrame:
     bytes and the hash of nothing; texts under WIDTH bytes lose nothing. Rows with a null doc_id neither lose nor
     cause anything; rows of one doc_id don't act on each other. Other columns are ignored.
 
-    Windows are told apart by a 64-bit hash within a bucket of a 64-bit hash. Memory: about a chunk of CHUNK bytes
-    and the longest text.
+    Windows are told apart by 128 bits of two hashes, and so are surroundings (64 of them over their ANCHOR bytes).
+    There are at least ``ranges`` ranges of buckets, and as many as the tasks or the size ask for. Memory of a task:
+    BATCH records, those of a range, and the longest text.
     """
     spark = docs.sparkSession
     texts = documents(docs)
-    twice = texts.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
-    texts = texts.withColumn("h", F.xxhash64("text") if twice else F.lit(0).cast("long"))
+    facts = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    most, size = facts.where("doc_id is not null").agg(F.max("n"), F.sum("bytes")).first()
+    texts = texts.withColumn("h", F.xxhash64("text") if (most or 0) > 1 else F.lit(0).cast("long"))
     known = texts.where("doc_id is not null and text is not null")
-    parts = [repeated_samples(known, k, ranges) for k in range(ranges)]
-    samples_ = parts[0][0]
-    for more, _ in parts[1:]:
-        samples_ = samples_.unionByName(more)
-
-    windows, windows_path = stored(compared_windows(known, samples_.where("bucket is not null")), "windows")
-    free_shuffles(spark)
-    hits = None
-    for k in range(ranges):
-        own = windows.where(F.pmod("window", F.lit(ranges)) == k)
-        first = own.groupBy("bucket", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-        found = own.join(first.hint("shuffle_hash"), ["bucket", "window"]).where("doc > low").select("doc", "h", ((F.col("start") * (1 << STEP)) + 1).alias("place"))
-        found, _ = stored(found, "hits")
-        hits = found if hits is None else hits.unionByName(found)
-        free_shuffles(spark)
-    drop(spark, windows_path)
-
-    # a place of bit 0 alone is a window's start
-    covered = samples_.where("bucket is null").select("doc", "h", "place").unionByName(hits).groupBy(F.col("doc").alias("doc_id"), "h").agg(F.collect_list("place").alias("places"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(ranges, 8 * parts, (size or 0) // (10 * RANGE))
+
+    found, found_path = moved(known, sample_records, combined_samples, sorted_samples, ranges, "samples")
+    own = found.where("compare").groupBy(F.col("doc").alias("doc_id"), "h").agg(F.flatten(F.collect_list("places")).alias("places"))
+    compared = known.join(own, ["doc_id", "h"]).select("doc_id", "h", "text", "places")
+    hits, hits_path = moved(compared, window_records, combined_windows, sorted_windows, ranges, "windows")
+    covered = found.where("not compare").unionByName(hits.where("not compare")).groupBy(F.col("doc").alias("doc_id"), "h").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     def remove(batches):
         for batch in batches:
@@ -273,4 +405,6 @@ def dedup_substrings(docs: DataFrame, ranges: int = BUCKET_RANGES) -> DataFrame:
                 rows.append({"doc_id": doc, "n_bytes": len(text), "n_removed": int((end - start).sum()), "n_spans": len(start), "kept_sha256": digest.hexdigest(), "spans": spans})
             yield pa.RecordBatch.from_pylist(rows, schema=OUT_ARROW)
 
-    return texts.join(covered, ["doc_id", "h"], "left").select("doc_id", "text", "places").mapInArrow(remove, OUT)
+    out, _ = stored(texts.join(covered, ["doc_id", "h"], "left").select("doc_id", "text", "places").mapInArrow(remove, OUT), "kept")
+    drop(spark, found_path, hits_path)
+    return out

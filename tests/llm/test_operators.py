@@ -192,6 +192,70 @@ def test_substrings(spark, odd, monkeypatch):
     assert SU.dedup_substrings(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("batch,many", [(300, 1), (2000, 3), (1 << 20, 2)])
+def test_substrings_in_small_batches(monkeypatch, batch, many):
+    """One common string with many surroundings, one passage in most documents, and their parts at either end of texts."""
+    r = random.Random(batch)
+    common, passage = prose(r, 8, [f"c{k}" for k in range(50)]), prose(r, 30, [f"p{k}" for k in range(50)])
+    rows = []
+    for k in range(120):
+        own = [prose(r, r.randint(0, 30), [f"w{j}" for j in range(300)]) for _ in range(3)]
+        rows.append((k % 100 + 7, " ".join([passage[r.randint(0, 40) :] if k % 3 else "", own[0], common, own[1], common[5:], own[2], passage[: r.randint(40, 99)] if k % 2 else ""])))
+    rows += [(1000, "ab" * 300), (1001, "ab" * 200 + "c"), (3, "ab" * 40), (1002, rows[5][1])]
+    monkeypatch.setattr(SU, "BATCH", batch)
+    monkeypatch.setattr(SU, "MANY", many)
+    found = simulated(SU, [(d, t.encode()) for d, t in rows])
+    assert found == {(d, n): removed for (d, n, removed, _, _), k in brute_substrings(rows).items() for _ in range(k)}
+
+
+def simulated(substrings, rows, ranges=5):
+    """What the two moves decide, run here: (doc_id, bytes) -> bytes removed, as the operator's steps give it."""
+    import pyarrow as pa
+
+    ddl = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("text", pa.string())])
+    hs = [zlib.crc32(t) for _, t in rows]
+
+    def table(some):
+        return [pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in part]), pa.array([hs[i] for i in part]), pa.array([rows[i][1].decode() for i in part])], schema=ddl) for part in some]
+
+    def move(batches, records, combine, sort):
+        sent, done = defaultdict(list), []
+        for batch in batches:
+            held, size = [], 0
+            for x in [*records(batch), None]:
+                if x is not None:
+                    held.append(x)
+                    size += len(x)
+                if held and (x is None or size >= substrings.BATCH):
+                    for made in combine(substrings.Records.joined(held), ranges):
+                        for row in made.to_pylist():
+                            (done if row["data"] is None else sent[row["range"]]).append(row)
+                    held, size = [], 0
+        for k in sent:
+            for made in sort(substrings.Records.joined([substrings.Records.from_bytes(x["data"]) for x in sent[k]]), ranges):
+                done += made.to_pylist()
+        return done
+
+    n = len(rows)
+    samples = move(table([range(0, n // 2), range(n // 2, n)]), substrings.sample_records, substrings.combined_samples, substrings.sorted_samples)
+    places = defaultdict(list)
+    for x in samples:
+        if x["compare"]:
+            places[x["doc"], x["h"]] += x["places"]
+    own = [i for i in range(n) if (rows[i][0], hs[i]) in places]
+    batches = [b.append_column("places", pa.array([places[rows[i][0], hs[i]] for i in part])) for part in (own[::2], own[1::2]) for b in table([part])]
+    windows = move(batches, substrings.window_records, substrings.combined_windows, substrings.sorted_windows)
+    covered = defaultdict(list)
+    for x in samples + windows:
+        if not x["compare"]:
+            covered[x["doc"], x["h"]] += x["places"]
+    out = {}
+    for (d, t), h in zip(rows, hs, strict=True):
+        start, end = substrings.removal_spans(substrings.windows_of(np.array(covered[d, h], np.int64))[0])
+        out[d, len(t)] = int((end - start).sum())
+    return out
+
+
 def test_long_texts_in_segments(monkeypatch):
     """Samples don't depend on where a long text is cut."""
     r = random.Random(1)
