@@ -1,25 +1,29 @@
 """Approximate nearest neighbours: cross-polytope hashing, multiprobe tables, exact reranking.
 
 Each table rotates a unit vector by three rounds of random signs and a fast Hadamard transform and assigns it to
-the nearest signed axis. A query probes every axis with its own coordinate there as the probe's worth; the tables
-collect, for each vector of a block, the worth of the axes it was assigned to. The vectors with the most worth are
-reranked exactly. Largest inner products become nearest unit vectors by one more coordinate, which fills every
-vector up to the largest norm; queries have none of it.
+the nearest signed axis; it holds, for a block of vectors, a bucket for each axis. A query probes the PROBES axes of
+each table where its own coordinate is largest, which is the probe's worth, and collects what is in their buckets. A
+vector's worth is that of all the probes that met it. The vectors with the most worth are reranked exactly. Largest
+inner products become nearest unit vectors by one more coordinate, which fills every vector up to the largest norm;
+queries have none of it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLES = 16
+from .common import stored
+
+TABLES, PROBES = 16, 48
 SHARE, LEAST = 0.12, 300
 #: Vectors whose estimated cosine is as high are candidates whatever their number.
 NEAR = 0.45
 BLOCK_ROWS = 8192
-QUERIES = 256
 STRIPE = 1024
 QUERY_BYTES = 16 << 20
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -85,35 +89,59 @@ def assigned(filled: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float]:
     return axes, level / n
 
 
-def search_block(queries: np.ndarray, vectors: np.ndarray, largest: float, signs: np.ndarray, k: int, query_ids: np.ndarray, ids: np.ndarray):
+class Tables:
+    """The buckets of a block of vectors, of all tables one after the other."""
+
+    def __init__(self, axes: np.ndarray, width: int):
+        n = axes.shape[1]
+        keys = (axes + np.arange(TABLES)[:, None] * 2 * width).ravel()
+        self.members = np.argsort(keys, kind="stable") % n
+        self.starts = np.searchsorted(np.sort(keys), np.arange(TABLES * 2 * width + 1))
+
+    def meetings(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members of the buckets, and the place in ``buckets`` that each was met by."""
+        sizes = self.starts[buckets + 1] - self.starts[buckets]
+        probe = np.repeat(np.arange(len(buckets)), sizes)
+        within = np.arange(len(probe)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.members[self.starts[buckets][probe] + within], probe
+
+
+def probed(queries: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query: the buckets of its probes in all tables, and the probes' worths."""
+    directions = np.ascontiguousarray(unit(queries, None).T)
+    width = signs.shape[2]
+    count = min(PROBES, width)
+    buckets, worths = [], []
+    for t in range(TABLES):
+        y = rotated(directions, signs[t]).T
+        best = np.argpartition(-np.abs(y), count - 1, axis=1)[:, :count]
+        at = np.take_along_axis(y, best, axis=1)
+        buckets.append(best * 2 + (at < 0) + t * 2 * width)
+        worths.append(np.abs(at))
+    return np.concatenate(buckets, axis=1), np.concatenate(worths, axis=1)
+
+
+def search_block(queries: np.ndarray, probes, vectors: np.ndarray, largest: float, signs: np.ndarray, k: int, query_ids: np.ndarray, ids: np.ndarray):
     """Places of queries, of vectors and the exact scores of each query's k best candidates of the block."""
     n = len(vectors)
     axes, level = assigned(unit(vectors, largest), signs)
-    directions = np.ascontiguousarray(unit(queries, None).T)
+    tables = Tables(axes, signs.shape[2])
     budget = min(n, max(LEAST, int(SHARE * n)))
     out = []
-    for first in range(0, len(queries), QUERIES):
-        rows = range(first, min(len(queries), first + QUERIES))
-        # a row of worths for each vector: tables are looked up for all queries of the batch at once
-        worth = np.zeros((n, len(rows)), np.float32)
-        for t in range(TABLES):
-            y = rotated(directions[:, rows.start : rows.stop], signs[t])
-            probes = np.empty((2 * len(y), len(rows)), np.float32)
-            probes[0::2], probes[1::2] = y, -y
-            worth += probes[axes[t]]
-        worth = np.ascontiguousarray(worth.T)
-        bars = np.partition(worth, n - budget, axis=1)[:, n - budget]
-        for q, own, bar in zip(rows, worth, np.minimum(bars, NEAR * level), strict=True):
-            found = np.flatnonzero(own >= bar)
-            found = found[ids[found] != query_ids[q]]
-            score = vectors[found] @ queries[q]
-            if len(found) > k:
-                bar = np.partition(score, len(score) - k)[len(score) - k]
-                found = found[score >= bar - 1e-9 * max(1.0, abs(bar))]
-            # row by row, so that equal vectors have equal scores and ties go by id
-            score = (vectors[found] * queries[q]).sum(axis=1)
-            order = np.lexsort((ids[found], -score))[:k]
-            out.append((np.full(len(order), q), found[order], score[order]))
+    for q, (buckets, worths) in enumerate(zip(*probes, strict=True)):
+        met, probe = tables.meetings(buckets)
+        worth = np.bincount(met, worths[probe], n)
+        bar = min(np.partition(worth, n - budget)[n - budget], NEAR * level)
+        found = np.flatnonzero(worth >= bar)
+        found = found[ids[found] != query_ids[q]]
+        score = vectors[found] @ queries[q]
+        if len(found) > k:
+            bar = np.partition(score, len(score) - k)[len(score) - k]
+            found = found[score >= bar - 1e-9 * max(1.0, abs(bar))]
+        # row by row, so that equal vectors have equal scores and ties go by id
+        score = (vectors[found] * queries[q]).sum(axis=1)
+        order = np.lexsort((ids[found], -score))[:k]
+        out.append((np.full(len(order), q), found[order], score[order]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -123,10 +151,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     Columns: query_id, rank (from 1), vec_id, score (the inner product of the original vectors in double
     precision); nearest first, ties to the smaller vec_id; all candidates if there are fewer. Vectors that are
     null, zero or hold a null or non-finite component, or have a null vec_id or another length than most, take
-    no part; rows with a repeated vec_id are candidates each, but never of a query of that id. Of every block of
-    at most BLOCK_ROWS vectors, the SHARE with the most probe worth (LEAST at least) and all whose worth speaks
-    for a cosine over NEAR are reranked, so that groups of near-equal vectors stay whole. Queries go to the
-    executors in blocks of at most QUERY_BYTES. Other columns are ignored.
+    no part. Rows that repeat a vec_id are candidates each, but never of a query of that id; as a query, a vec_id
+    counts once, with the smallest of its vectors (component by component). Of every block of about BLOCK_ROWS
+    vectors, the SHARE with the most probe worth (LEAST at least) and all whose worth speaks for a cosine over NEAR
+    are reranked, so that groups of near-equal vectors stay whole. Queries go to the executors in blocks of about
+    QUERY_BYTES, one after the other: only one block is on the driver and broadcast at a time, and what it found is
+    stored. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
@@ -137,21 +167,22 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     rows = rows.where(F.size("v") == dim)
     largest, n_queries = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), F.sum(is_query.cast("long"))).first()
     blocks = max(1, -(-(n_queries or 0) * dim * 8 // QUERY_BYTES))
-    signs = rotations(dim + 1)
-    found = None
+    signs, parts = rotations(dim + 1), []
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     for b in range(blocks):
-        own = rows.where(is_query)
-        if blocks > 1:
-            own = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        batch = own.toArrow()
-        if not batch.num_rows:
+        own = (asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else asked).toArrow()
+        if not own.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((batch.column("vec_id").to_numpy(), np.stack(batch.column("v").to_pylist())))
-        part = rows.mapInArrow(searcher(shared, largest, signs, k), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+        queries = np.stack(own.column("v").to_pylist())
+        shared = spark.sparkContext.broadcast((own.column("vec_id").to_numpy(), queries, probed(queries, signs)))
+        part = ranked(rows.mapInArrow(searcher(shared, largest, signs, k), "query_id long, vec_id long, score double"), k)
+        if blocks == 1:
+            return part
+        parts.append(stored(part, "neighbours")[0])
+        shared.destroy()
+    if not parts:
         return spark.createDataFrame([], SCHEMA)
-    return ranked(found, k)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -163,10 +194,10 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def searcher(shared, largest: float, signs: np.ndarray, k: int):
     def search(batches):
-        query_ids, queries = shared.value
+        query_ids, queries, probes = shared.value
 
         def run(ids, vectors):
-            q, v, score = search_block(queries, vectors, largest, signs, k, query_ids, ids)
+            q, v, score = search_block(queries, probes, vectors, largest, signs, k, query_ids, ids)
             return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[v]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         ids, parts, held = [], [], 0
