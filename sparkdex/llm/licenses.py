@@ -19,26 +19,27 @@ BASE = (
     (b"mit license", "mit"),
 )
 
-#: Notices of public licenses and the label that each stands for.
+#: Notices of public licenses, the label that each stands for, and the words that tell it from others.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("mit", "released under the mit license"),
-    ("apache", "licensed under the apache license version 2.0 you may not use this file except in compliance with the license"),
-    ("apache", "licensed under the apache license version 2.0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by-nc", "licensed under cc by nc 4.0"),
-    ("cc-by-sa", "licensed under cc by sa 4.0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
-    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "permission granted charge software"),
+    ("mit", "released under the mit license", "mit license"),
+    ("apache", "licensed under the apache license version 2.0 you may not use this file except in compliance with the license", "apache license"),
+    ("apache", "licensed under the apache license version 2.0", "apache license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution source binary permitted"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
+    ("cc-by-nc", "licensed under cc by nc 4.0", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa 4.0", "cc by sa"),
+    ("cc-by-nd", "licensed under cc by nd 4.0", "cc by nd"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license", "creative commons attribution"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "dedicated public domain"),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-    "score double, blocks array<struct<label:string,kind:string,block:long,containment:double>>"
+    "score double, blocks array<struct<label:string,start:long,words:long,containment:double>>"
 )
 ARROW = pa.schema(
     [
@@ -50,7 +51,7 @@ ARROW = pa.schema(
         ("base_labels", pa.string()),
         ("labels", pa.string()),
         ("score", pa.float64()),
-        ("blocks", pa.list_(pa.struct([("label", pa.string()), ("kind", pa.string()), ("block", pa.int64()), ("containment", pa.float64())]))),
+        ("blocks", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("words", pa.int64()), ("containment", pa.float64())]))),
     ]
 )
 
@@ -71,45 +72,36 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     return found
 
 
-def text_blocks(text: bytes):
-    """(kind, number, words as a set): every line, and every paragraph of more than one line."""
-    lines = text.split(b"\n")
-    rows = [frozenset(ascii_words(x)) for x in lines]
-    for k, words in enumerate(rows):
-        if words:
-            yield "line", k, words
-    a = 0
-    for b in range(len(rows) + 1):
-        if b == len(rows) or not rows[b]:
-            if b - a > 1:
-                yield "paragraph", a, frozenset().union(*rows[a:b])
-            a = b + 1
+def block_size(n: int) -> tuple[int, int]:
+    """Words of the blocks that a template of n words is held against, and the words between their starts. A run of n
+    words lies in a block as a whole, and no block is much longer, so words that are far apart don't add up."""
+    step = -(-n // 4)
+    return n + 2 * step, step
 
 
 class TemplateIndex:
-    """Prefix index of templates under one global order of tokens, rarest first."""
+    """Prefix index of the templates of one block size, under one global order of tokens, rarest first."""
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
-        vocabulary = sorted({w for _, t in templates for w in ascii_words(t.encode())}, key=lambda w: (frequency.get(w, 0), w))
+        vocabulary = sorted({w for _, t, _ in templates for w in ascii_words(t.encode())}, key=lambda w: (frequency.get(w, 0), w))
         self.order = {w: k for k, w in enumerate(vocabulary)}
         self.templates, self.prefix = [], defaultdict(list)
-        for label, text in templates:
+        for label, text, must in templates:
             tokens = sorted(set(ascii_words(text.encode())), key=self.order.__getitem__)
             need = ceil(threshold * len(tokens) - 1e-9)
             for j in range(len(tokens) - need + 1):
                 self.prefix[tokens[j]].append((len(self.templates), j))
-            self.templates.append((label, tokens, need))
+            self.templates.append((label, tokens, need, frozenset(ascii_words(must.encode()))))
         self.rare = frozenset(self.prefix)
 
     def join(self, block: frozenset[bytes]):
-        """(label, containment) of every template whose tokens the block holds to the threshold."""
-        if self.rare.isdisjoint(block):
-            return
+        """(label, containment) of every template whose tokens the block holds to the threshold, with all that tell it
+        from others."""
         known = sorted(block & self.order.keys(), key=self.order.__getitem__)
         shared: dict[int, int] = defaultdict(int)
         for i, w in enumerate(known):
             for t, j in self.prefix.get(w, ()):
-                _, tokens, need = self.templates[t]
+                _, tokens, need, _ = self.templates[t]
                 if len(known) < need or shared[t] < 0:  # length filter, or given up
                     continue
                 # positional filter: tokens of the rest of both lists can match at most
@@ -118,14 +110,41 @@ class TemplateIndex:
                 else:
                     shared[t] += 1
         for t, n in shared.items():
-            label, tokens, need = self.templates[t]
-            if n > 0 and (overlap := sum(w in block for w in tokens)) >= need:
+            label, tokens, need, must = self.templates[t]
+            if n > 0 and must <= block and (overlap := sum(w in block for w in tokens)) >= need:
                 yield label, overlap / len(tokens)
 
 
+class Indexes:
+    """The templates by block size."""
+
+    def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
+        by: dict[tuple[int, int], list] = defaultdict(list)
+        for t in templates:
+            by[block_size(len(ascii_words(t[1].encode())))].append(t)
+        self.sizes = [(size, step, TemplateIndex(ts, frequency, threshold)) for (size, step), ts in sorted(by.items())]
+        self.rare = frozenset().union(*(i.rare for _, _, i in self.sizes))
+
+    def matches(self, words: list[bytes]):
+        """(label, first word, words, containment) of every block that meets a template. Only blocks with a prefix
+        token are looked at."""
+        places = [(i, w) for i, w in enumerate(words) if w in self.rare]
+        for size, step, index in self.sizes:
+            last = None
+            for i, w in places:
+                if w not in index.rare:
+                    continue
+                low = max(0, -(-(i - size + 1) // step))
+                for k in range(low if last is None else max(low, last + 1), i // step + 1):
+                    last = k
+                    block = words[k * step : k * step + size]
+                    for label, c in index.join(frozenset(block)):
+                        yield label, k * step, len(block), c
+
+
 def token_frequencies(docs: DataFrame, templates) -> dict[bytes, int]:
     """Over all documents, how many hold each word of the templates: one row per template word comes back."""
-    vocabulary = frozenset(w for _, t in templates for w in ascii_words(t.encode()))
+    vocabulary = frozenset(w for _, t, _ in templates for w in ascii_words(t.encode()))
 
     def count(batches):
         seen: dict[bytes, int] = defaultdict(int)
@@ -142,19 +161,20 @@ def token_frequencies(docs: DataFrame, templates) -> dict[bytes, int]:
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Base phrases and matching license templates of every document.
 
-    A block (line, or paragraph of several lines) matches a template if it holds at least ``threshold`` of
-    the template's distinct words: prefix, length and positional filters under the corpus-wide order of word
-    frequencies choose candidates, and a full count decides. Columns: doc_id, n_words, n_base, first_word,
+    A document's blocks are runs of words a little longer than a template, at even distances (``block_size``). A
+    block matches a template if it holds at least ``threshold`` of the template's distinct words and all words that
+    tell it from others: prefix, length and positional filters under the corpus-wide order of word frequencies
+    choose candidates, and a full count decides. Columns: doc_id, n_words, n_base, first_word,
     last_word (null without base places), base_labels, labels (base and template labels; both distinct,
     sorted, comma-joined), score (1 with a base place, else the largest containment of a match, else 0),
-    blocks (every match). Null and empty texts: no words, empty labels, score 0. Each row of ``docs``,
+    blocks (every match: label, first word, words, containment). Null and empty texts: no words, empty labels, score 0. Each row of ``docs``,
     repeated or not, gives a row; other columns are ignored.
     """
     texts = documents(docs)
     frequency = token_frequencies(texts, templates)
 
     def scan(batches):
-        index = TemplateIndex(templates, frequency, threshold)
+        index = Indexes(templates, frequency, threshold)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
@@ -162,9 +182,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -
                 base = phrase_places(words)
                 blocks = []
                 if not index.rare.isdisjoint(words):
-                    for kind, k, block in text_blocks(text):
-                        for label, c in index.join(block):
-                            blocks.append({"label": label, "kind": kind, "block": k, "containment": c})
+                    blocks = [{"label": x, "start": i, "words": n, "containment": c} for x, i, n, c in index.matches(words)]
                 places = [i for i, _ in base]
                 base_labels = {x for _, x in base}
                 out.append(
