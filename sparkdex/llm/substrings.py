@@ -28,6 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,8 +193,14 @@ def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.r_[starts, n]))
 
 
+#: The first key keeps so many bits; the columns of a packed record.
+KEY_BITS = 48
+PACKED = (("k1", "<u4"), ("k1", "<u2"), ("k2", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("place", "<i4"), ("place", "<i4"))
+PACKED_SIZE = sum(np.dtype(t).itemsize for _, t in PACKED)
+
+
 class Records:
-    """Arrays of one length: two keys (unsigned), doc and h of a row, and a place."""
+    """Arrays of one length: two keys (unsigned, the first of KEY_BITS), doc and h of a row, and a place."""
 
     def __init__(self, k1, k2, doc, h, place):
         self.columns = [k1.astype(np.uint64), k2.astype(np.uint64), *(np.asarray(x, np.int64) for x in (doc, h, place))]
@@ -210,21 +217,28 @@ class Records:
         return cls(*(np.concatenate(c) for c in zip(*(p.columns for p in parts), strict=True)))
 
     def to_bytes(self) -> bytes:
-        """Ids as differences: records come in the order of documents, and zeros cost little once compressed."""
-        less = lambda x: np.diff(x, prepend=0)
-        return b"".join(c.tobytes() for c in (self.k1, self.k2, less(self.doc), less(self.h), self.place))
+        """Column by column, compressed; ids and places as differences, since records come in the order of texts."""
+        less = lambda x: np.diff(x, prepend=x.dtype.type(0))
+        parts = (self.k1 >> np.uint64(16), self.k1 & np.uint64(0xFFFF), self.k2, less(self.doc), less(self.h), less(self.place >> STEP), self.place & ((1 << STEP) - 1))
+        return zstandard.compress(b"".join(x.astype(t).tobytes() for x, (_, t) in zip(parts, PACKED, strict=True)), 1)
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Records:
-        x = np.frombuffer(data, np.int64).reshape(5, -1)
-        return cls(x[0].view(np.uint64), x[1].view(np.uint64), np.cumsum(x[2]), np.cumsum(x[3]), x[4])
-
-    def by_class(self) -> tuple[Records, np.ndarray, np.ndarray]:
-        """The records by class (k1, k2); where classes start; and the smallest doc of each record's class."""
-        own = self.at(np.argsort(self.k1 ^ mix(self.k2), kind="stable"))
+    def from_bytes(cls, packed) -> Records:
+        data = zstandard.decompress(packed)
+        n, at, x = len(data) // PACKED_SIZE, 0, []
+        for _, t in PACKED:
+            x.append(np.frombuffer(data, t, n, at))
+            at += n * np.dtype(t).itemsize
+        high, low, k2, doc, h, place, mask = x
+        return cls((high.astype(np.uint64) << np.uint64(16)) | low, k2, np.cumsum(doc), np.cumsum(h), (np.cumsum(place.astype(np.int64)) << STEP) | mask)
+
+    def by_class(self) -> tuple[np.ndarray, Records, np.ndarray]:
+        """An order by class (k1, k2); the records in it; and the smallest doc of each one's class."""
+        order = np.argsort(self.k1 ^ mix(self.k2), kind="stable")
+        own = self.at(order)
         starts = runs(own.k1, own.k2)
         least = np.minimum.reduceat(own.doc, starts) if len(own) else own.doc
-        return own, starts, spread(least, starts, len(own))
+        return order, own, spread(least, starts, len(own))
 
 
 MOVED = "range int, data binary, doc long, h long, places array<long>, compare boolean"
@@ -233,7 +247,7 @@ MOVED_ARROW = pa.schema([("range", pa.int32()), ("data", pa.binary()), ("doc", p
 
 def sent(r: Records, ranges: int) -> pa.RecordBatch:
     """A row for each range of first keys that there are records of."""
-    part = (r.k1 >> np.uint64(32)).astype(np.int64) % ranges
+    part = (r.k1 >> np.uint64(KEY_BITS - 32)).astype(np.int64) % ranges
     order = np.argsort(part, kind="stable")
     starts = runs(part[order])
     rows = [order[a:b] for a, b in zip(starts, np.r_[starts[1:], len(r)], strict=True)]
@@ -253,21 +267,20 @@ def decided(r: Records, compare: bool, ranges: int) -> pa.RecordBatch:
 
 
 def combined_samples(r: Records, ranges: int):
-    """Rows for a batch of samples: one record of each class travels, with what its document has more of it."""
-    own, starts, least = r.by_class()
+    """Rows for a batch of samples: one document of each class travels."""
+    order, own, least = r.by_class()
     yield decided(own.at(own.doc > least), False, ranges)
-    own = own.at(own.doc == least)
-    one = own.at(runs(own.k1, own.k2))
-    buckets, classes = np.unique(one.k1, return_counts=True)
+    kept = own.doc == least
+    one = own.k1[kept][runs(own.k1[kept], own.k2[kept])]
+    buckets, classes = np.unique(one, return_counts=True)
     many = buckets[classes > MANY]
     if len(many):
-        yield decided(own.at(np.isin(own.k1, many)), True, ranges)
-        own = own.at(~np.isin(own.k1, many))
+        apart = kept & np.isin(own.k1, many)
+        yield decided(own.at(apart), True, ranges)
+        kept &= ~apart
         n = len(many)
-        marks = Records(np.repeat(many, 2), np.tile(np.array([0, 1], np.uint64), n), np.tile([FIRST, LAST], n), np.zeros(2 * n), np.full(2 * n, -1))
-        yield sent(marks, ranges)
-    own = own.at(np.argsort(own.doc, kind="stable"))
-    yield sent(own, ranges)
+        yield sent(Records(np.repeat(many, 2), np.tile(np.array([0, 1], np.uint64), n), np.tile([FIRST, LAST], n), np.zeros(2 * n), np.full(2 * n, -1)), ranges)
+    yield sent(r.at(np.sort(order[kept])), ranges)
 
 
 def sorted_samples(r: Records, ranges: int):
@@ -279,22 +292,20 @@ def sorted_samples(r: Records, ranges: int):
     shared, mixed, low = (spread(x, starts, len(own)) for x in (low < high, mixed, low))
     real = own.place >= 0
     yield decided(own.at(shared & ~mixed & (own.doc > low)), False, ranges)
-    own, _, least = own.at(shared & mixed & real).by_class()
+    _, own, least = own.at(shared & mixed & real).by_class()
     yield decided(own.at(own.doc > least), False, ranges)
     yield decided(own.at(own.doc == least), True, ranges)
 
 
 def combined_windows(r: Records, ranges: int):
-    """Rows for a batch of windows: each travels once, by its first document there."""
-    own, _, least = r.by_class()
+    """Rows for a batch of windows: each travels by its first document there."""
+    order, own, least = r.by_class()
     yield decided(own.at(own.doc > least), False, ranges)
-    own = own.at(own.doc == least)
-    own = own.at(runs(own.k1, own.k2, own.h, own.place))
-    yield sent(own.at(np.argsort(own.doc, kind="stable")), ranges)
+    yield sent(r.at(np.sort(order[own.doc == least])), ranges)
 
 
 def sorted_windows(r: Records, ranges: int):
-    own, _, least = r.by_class()
+    _, own, least = r.by_class()
     yield decided(own.at(own.doc > least), False, ranges)
 
 
@@ -326,21 +337,22 @@ def moved(rows: DataFrame, records, combine, sort, ranges: int, name: str) -> tu
                     if held:
                         yield from sort(Records.joined(held), ranges)
                     held, now = [], k
-                held.append(Records.from_bytes(data.as_buffer()))
+                held.append(Records.from_bytes(data.as_buffer().to_pybytes()))
         if held:
             yield from sort(Records.joined(held), ranges)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(first, MOVED).repartition(parts, "range").sortWithinPartitions("range")
     out = stored(dealt.mapInArrow(second, MOVED).select("doc", "h", "places", "compare"), name)
-    free_shuffles(rows.sparkSession)
+    del dealt, rows
+    free_shuffles(out[0].sparkSession)
     return out
 
 
 def sample_records(batch: pa.RecordBatch):
     ids, hs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
     for doc, p, mask, bucket, around in sampled(texts_of(batch)):
-        yield Records(bucket, around, ids[doc], hs[doc], (p << STEP) | mask)
+        yield Records(bucket >> np.uint64(64 - KEY_BITS), around, ids[doc], hs[doc], (p << STEP) | mask)
 
 
 def window_records(batch: pa.RecordBatch):
@@ -351,7 +363,7 @@ def window_records(batch: pa.RecordBatch):
             own = start[slice(*np.searchsorted(start, (a, a + 8 * CHUNK)))]
             if len(own):
                 words = eights(text[a : a + 8 * CHUNK + WIDTH])
-                yield Records(hashed(words, own - a, 0, WIDTH, 3), hashed(words, own - a, 0, WIDTH, 4), np.full(len(own), doc), np.full(len(own), h), (own << STEP) | 1)
+                yield Records(hashed(words, own - a, 0, WIDTH, 3) >> np.uint64(64 - KEY_BITS), hashed(words, own - a, 0, WIDTH, 4), np.full(len(own), doc), np.full(len(own), h), (own << STEP) | 1)
 
 
 def removal_spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +383,7 @@ def dedup_substrings(docs: DataFrame, ranges: int = 1) -> DataFrame:
     bytes and the hash of nothing; texts under WIDTH bytes lose nothing. Rows with a null doc_id neither lose nor
     cause anything; rows of one doc_id don't act on each other. Other columns are ignored.
 
-    Windows are told apart by 128 bits of two hashes, and so are surroundings (64 of them over their ANCHOR bytes).
+    Windows are told apart by 112 bits of two hashes, and so are surroundings (48 of them over their ANCHOR bytes).
     There are at least ``ranges`` ranges of buckets, and as many as the tasks or the size ask for. Memory of a task:
     BATCH records, those of a range, and the longest text.
     """
@@ -386,8 +398,9 @@ def dedup_substrings(docs: DataFrame, ranges: int = 1) -> DataFrame:
 
     found, found_path = moved(known, sample_records, combined_samples, sorted_samples, ranges, "samples")
     own = found.where("compare").groupBy(F.col("doc").alias("doc_id"), "h").agg(F.flatten(F.collect_list("places")).alias("places"))
-    compared = known.join(own, ["doc_id", "h"]).select("doc_id", "h", "text", "places")
-    hits, hits_path = moved(compared, window_records, combined_windows, sorted_windows, ranges, "windows")
+    free_shuffles(spark)
+    hits, hits_path = moved(known.join(own, ["doc_id", "h"]).select("doc_id", "h", "text", "places"), window_records, combined_windows, sorted_windows, ranges, "windows")
+    free_shuffles(spark)
     covered = found.where("not compare").unionByName(hits.where("not compare")).groupBy(F.col("doc").alias("doc_id"), "h").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     def remove(batches):
