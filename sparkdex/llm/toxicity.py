@@ -17,8 +17,10 @@ START, ANY = 0, -1
 #: Besides the words themselves, a second model reads their first letters, which inflected forms share.
 STEM = 4
 WINDOWS = (1, 4, 16)
+#: Of a model: the text and each window, by pairs and by unigrams.
+FEATURES = 2 * (1 + len(WINDOWS))
 DISCOUNT = 1.0
-#: Contexts that the shared backoff adds to those seen.
+#: What both classes add to the contexts of a word and to the documents of a pair that is kept.
 PRIOR = 20
 FLUSH = 1 << 19
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -82,61 +84,69 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class KneserNey:
-    """ln p(word | previous, toxic) - ln p(word | previous, ordinary).
+    """p(word | previous) in either class, each summing to 1 over the vocabulary and the unknown word.
 
-    A pair of words that a class has in two documents at least keeps its discounted count, on top of the count of
-    both classes together; beside it stands a unigram of distinct contexts (counted in distinct documents at
-    most), discounted likewise on top of the contexts of both classes. What is shared has the same weight in
-    both classes, so that rare expressions tell little, and a word of which neither class knows anything tells
-    for neither.
+    A class's pairs of words keep their discounted counts, on top of those of both classes together; what is left of
+    the context's count goes to the class's unigram: distinct contexts, discounted, on top of a share of the contexts
+    of both classes. What is shared is as large in either class, so that a rare expression tells little, and a word
+    of which neither class knows anything tells for neither.
     """
 
-    def __init__(self, words, contexts, pairs, totals: np.ndarray):
-        """words: key, contexts in either class, in class 0, in class 1. contexts: key, documents in class 0 and 1,
-        kept in class 0 and 1. pairs: u, v, documents in class 0 and 1. totals: sums of the words' columns, and
-        their number, over all words. Each sorted by key."""
+    def __init__(self, words, contexts, pairs):
+        """words: key, contexts in either class, in class 0, in class 1. contexts: key, documents in class 0 and 1 over
+        all its pairs. pairs: u, v, documents in class 0 and 1. Each sorted by key; those left out count for the
+        unknown word, as do pairs with a word that is left out."""
         wk, ck = words[:, 0].astype(np.int64), contexts[:, 0].astype(np.int64)
         self.vocabulary = np.union1d(wk, ck)
         n = len(self.vocabulary)
-        seen = np.zeros((n + 1, 3))  # the last stands for every word that isn't kept
+        seen = np.zeros((n + 1, 3))  # the last is the unknown word
         seen[find(self.vocabulary, wk)] = words[:, 1:4]
-        kept = [np.maximum(seen[:, 1 + c] - DISCOUNT, 0) / max(totals[1 + c], 1.0) for c in (0, 1)]
+        totals = np.maximum(seen[:, 1:].sum(axis=0), 1.0)
+        shared = (seen[:, 0] + PRIOR) / (seen[:, 0].sum() + PRIOR * (n + 1))
+        kept = [np.maximum(seen[:, 1 + c] - DISCOUNT, 0) / totals[c] for c in (0, 1)]
         rest = max(1 - k.sum() for k in kept)
-        shared = rest * (seen[:, 0] + PRIOR) / (totals[0] + PRIOR * (totals[3] + 1))
-        self.unigram = [k + shared for k in kept]
-        at = find(self.vocabulary, ck)
-        context = np.ones(n + 1)
-        context[at] = np.maximum(contexts[:, 1] + contexts[:, 2], 1)
-        self.give = np.ones(n + 1)
-        self.give[at] = np.clip(1 - np.maximum(contexts[:, 3], contexts[:, 4]) / context[at], 1e-6, 1)
+        self.unigram = [(k + rest * shared) / (k.sum() + rest) for k in kept]
+        self.alone = np.log(self.unigram[1] / self.unigram[0])
+
         u, v = (find(self.vocabulary, pairs[:, k].astype(np.int64)) for k in (0, 1))
         both = (u < n) & (v < n)
-        counts, u, v = pairs[both, 2:], u[both], v[both]
-        share = np.maximum(totals[1:3], 1) / max(totals[1:3].sum(), 1)
+        counts, u, v = pairs[both, 2:4], u[both], v[both]
         order = np.argsort(u * (n + 1) + v)
-        self.pairs = (u * (n + 1) + v)[order]
-        self.bigram = [np.r_[((np.maximum(counts[:, c] - DISCOUNT, 0) / share[c] + counts.sum(axis=1) + PRIOR) / context[u])[order], 0.0] for c in (0, 1)]
-
-    def ratios(self, words: np.ndarray) -> np.ndarray:
-        """words: places in the vocabulary, after the start's."""
-        u, v, n = words[:-1], words[1:], len(self.vocabulary)
-        p = [self.give[u] * self.unigram[c][v] for c in (0, 1)]
+        counts, u, v = counts[order], u[order], v[order]
+        self.pairs = u * (n + 1) + v
+        context = np.ones(n + 1)
+        context[find(self.vocabulary, ck)] = np.maximum(contexts[:, 1] + contexts[:, 2], 1)
+        known = np.maximum(*(np.bincount(u, np.maximum(counts[:, c] - DISCOUNT, 0), n + 1) for c in (0, 1)))
+        back = np.maximum(context - known, 1e-6)
+        held = [np.maximum(counts[:, c] - DISCOUNT, 0) * totals.sum() / totals[c] + counts.sum(axis=1) + PRIOR for c in (0, 1)]
+        whole = [np.bincount(u, h, n + 1) + back for h in held]
+        self.give = [back / z for z in whole]
+        # the last stands for pairs that aren't kept
+        self.bigram = [np.r_[h / z[u], 0.0] for h, z in zip(held, whole, strict=True)]
+
+    def probabilities(self, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        """Of places in the vocabulary, in each class."""
+        n = len(self.vocabulary)
+        p = [self.give[c][u] * self.unigram[c][v] for c in (0, 1)]
         known = np.flatnonzero((u < n) & (v < n))
         pair = find(self.pairs, u[known] * (n + 1) + v[known])
         for c in (0, 1):
             p[c][known] += self.bigram[c][pair]
-        return np.log(p[1] / p[0])
+        return p
 
     def features(self, words: np.ndarray) -> list[float]:
-        """Length-normalised differences: of the text, and of its most toxic stretch of each window length."""
+        """Length-normalised differences of log-likelihoods, of the text and of its most toxic stretch of each window
+        length: by pairs, and by the unigrams that they back off to. words: places, after the start's."""
         if len(words) < 2:
-            return [0.0] * (1 + len(WINDOWS))
-        r = self.ratios(words)
-        sums = np.r_[0.0, np.cumsum(r)]
-        out = [sums[-1] / len(r)]
-        for w in WINDOWS:
-            w = min(w, len(r))
-            out.append(float((sums[w:] - sums[:-w]).max() / w))
+            return [0.0] * FEATURES
+        p = self.probabilities(words[:-1], words[1:])
+        out = []
+        for r in (np.log(p[1] / p[0]), self.alone[words[1:]]):
+            sums = np.r_[0.0, np.cumsum(r)]
+            out.append(sums[-1] / len(r))
+            for w in WINDOWS:
+                w = min(w, len(r))
+                out.append(float((sums[w:] - sums[:-w]).max() / w))
         return out
 
 
@@ -196,10 +206,8 @@ def model_of(rows: DataFrame, stream: int) -> KneserNey:
     any_ = F.col("u") == ANY
     contexts_of = [F.least(F.sum((~any_ & (F.col(c) > 0)).cast("long")), F.sum(F.when(any_, F.col(c)).otherwise(0))) for c in ("n0", "n1")]
     words = counts.groupBy("v").agg(F.sum((~any_).cast("long")).alias("seen"), contexts_of[0].alias("c0"), contexts_of[1].alias("c1"))
-    totals = np.array([x or 0 for x in words.agg(F.sum("seen"), F.sum("c0"), F.sum("c1"), F.count("*")).first()], float)
-    kept = [F.sum(F.when(F.col(c) >= 2, F.col(c) - DISCOUNT).otherwise(0.0)).alias(k) for c, k in (("n0", "k0"), ("n1", "k1"))]
-    contexts = pairs.groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *kept).where("k0 + k1 > 0")
-    model = KneserNey(array_of(words.where("greatest(c0, c1) >= 2"), "v"), array_of(contexts, "u"), array_of(pairs.where("greatest(n0, n1) >= 2"), "u", "v"), totals)
+    contexts = pairs.groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max(F.greatest("n0", "n1")).alias("most")).where("most >= 2").drop("most")
+    model = KneserNey(array_of(words.where("greatest(c0, c1) >= 2"), "v"), array_of(contexts, "u"), array_of(pairs.where("greatest(n0, n1) >= 2"), "u", "v"))
     drop(rows.sparkSession, path)
     return model
 
@@ -233,15 +241,16 @@ def fit(docs: DataFrame, labels: DataFrame, of: int, held: int, max_train: int)
     seen = rows.where(fold("doc_id", of) == calibrate).select("toxic", "text").mapInArrow(measure, "f array<double>, toxic int").toPandas()
     drop(docs.sparkSession, path)
     if not len(seen) or seen["toxic"].nunique() < 2:
-        return shared, np.r_[np.zeros(2 * len(WINDOWS) + 1), 1.0, 0.0]
+        return shared, np.r_[np.zeros(len(streams()) * FEATURES - 1), 1.0, 0.0]
     return shared, logistic(np.stack(seen["f"].to_numpy()), seen["toxic"].to_numpy().astype(float))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, of: int = 5, held: int = 0, max_train: int = 20_000) -> DataFrame:
     """Toxicity of every document, learned from labelled rows whose crc32(doc_id) mod ``of`` isn't ``held``.
 
-    The bigram models of toxic and ordinary texts, of words and of their first letters, count documents, discount as Kneser and Ney do and back off
-    to unigrams of distinct contexts, which back off to contexts of both classes together. A text's features
+    The bigram models of toxic and ordinary texts, of words and of their first letters, count documents, discount as
+    Kneser and Ney do and back off to pairs of both classes together and to unigrams of distinct contexts, which
+    back off to contexts of both classes together. A text's features
     are length-normalised log-likelihood differences (its whole, and its most toxic windows), weighed by a
     logistic fit on one fold of the learning rows that the counts don't see. At most ``max_train`` labelled
     rows, the first by hash of their id, are learned from; every document is scored whole.

@@ -435,6 +435,52 @@ def test_toxicity(spark):
     assert TX.score_toxicity(frame(spark, []), lab).count() == 0
 
 
+def test_kneser_ney_against_counts(spark):
+    """Probabilities sum to 1 in each class and are those of the definition, counted by dictionaries."""
+    r = random.Random(6)
+    vocab = [f"w{k}" for k in range(25)]
+    rows = [(int(r.random() < 0.3), prose(r, r.randint(1, 12), vocab[: 25 if r.random() < 0.7 else 6])) for _ in range(150)]
+    m = TX.model_of(spark.createDataFrame(rows, "toxic int, text string"), 0)
+    n = len(m.vocabulary)
+    every = np.arange(n + 1)
+    for u in every:
+        for p in m.probabilities(np.full(n + 1, u), every):
+            assert np.isclose(p.sum(), 1) and (p > 0).all()
+
+    pairs, firsts = [Counter(), Counter()], [defaultdict(set), defaultdict(set)]
+    anywhere = [Counter(), Counter()]
+    for c, text in rows:
+        words = ["<s>", *text.split()]
+        pairs[c].update(set(zip(words, words[1:], strict=False)))
+        anywhere[c].update(set(words[1:]))
+        for a, b in zip(words, words[1:], strict=False):
+            firsts[c][b].add(a)
+    names = sorted({w for c in (0, 1) for w in firsts[c]})
+    contexts = [{w: min(len(firsts[c][w]), anywhere[c][w]) for w in names} for c in (0, 1)]
+    words = [w for w in names if max(contexts[0][w], contexts[1][w]) >= 2]
+    kept = {p for c in (0, 1) for p, k in pairs[c].items() if k >= 2}
+    known = set(words) | {u for u, _ in kept}
+    seen = {w: len(firsts[0][w] | firsts[1][w]) if w in words else 0 for w in known | {None}}
+    shared = {w: (seen[w] + TX.PRIOR) / (sum(seen.values()) + TX.PRIOR * len(seen)) for w in seen}
+    own = [{w: contexts[c][w] if w in words else 0 for w in seen} for c in (0, 1)]
+    size = [sum(own[c].values()) for c in (0, 1)]
+    keeps = [{w: max(own[c][w] - 1, 0) / size[c] for w in seen} for c in (0, 1)]
+    rest = max(1 - sum(k.values()) for k in keeps)
+    uni = [{w: (k[w] + rest * shared[w]) / (sum(k.values()) + rest) for w in seen} for k in keeps]
+    kept = {(u, v) for u, v in kept if v in known}
+    place = {w: int(TX.find(m.vocabulary, np.array([0]))[0]) if w == "<s>" else n if w is None else TX.Places(m, TX.WordHashes())[w.encode()] for w in known | {None}}
+    assert len(known) == n
+    for u in known:
+        after = [v for x, v in kept if x == u]
+        total = sum(k for c in (0, 1) for (x, _), k in pairs[c].items() if x == u)
+        back = total - max(sum(max(pairs[c][u, v] - 1, 0) for v in after) for c in (0, 1))
+        for c in (0, 1):
+            held = {v: max(pairs[c][u, v] - 1, 0) * sum(size) / size[c] + pairs[0][u, v] + pairs[1][u, v] + TX.PRIOR for v in after}
+            for v in seen:
+                p = (held.get(v, 0) + back * uni[c][v]) / (sum(held.values()) + back)
+                assert np.isclose(p, m.probabilities(np.array([place[u]]), np.array([place[v]]))[c][0]), (u, v)
+
+
 def test_secrets(spark):
     rows = [
         (1, None),
