@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from .licenses import TEMPLATES
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -37,5 +39,53 @@ FROM d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN classes ON classes.key
 """
 
 
+OP3 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, b[s:s + 49] AS win FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS s FROM d WHERE doc_id IS NOT NULL)),
+first AS (SELECT win, min(doc_id) AS low FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, s FROM w JOIN first USING (win) WHERE doc_id > low),
+marked AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM marked),
+span AS (SELECT doc_id, k, min(s) AS a, max(s) + 50 AS z FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS before FROM span),
+cut AS (SELECT g.doc_id, sum(z - a) AS removed, count(*) AS n, max(z) AS last, string_agg(hex(b[before:a - 1]), '' ORDER BY a) AS kept
+  FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(concat(kept, hex(b[last:octet_length(b)]))) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def op2() -> str:
+    """Each template's blocks, of its words and twice a quarter of them, as slices that are intersected with it."""
+    rows = []
+    for label, text, must in TEMPLATES:
+        words = text.replace(".", " ").split()
+        tokens, step = sorted(set(words)), (len(words) + 3) // 4
+        rows.append(f"('{label}', {_list(tokens)}, {_list(must.split())}, {(4 * len(tokens) + 4) // 5}, {len(words) + 2 * step}, {step})")
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, s, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d WHERE list_has_all(w, {_list(x.split())})) WHERE w[s:s + {len(x.split()) - 1}] = {_list(x.split())}"
+        for x, label in (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+    )
+    return f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t(label, tokens, must, need, size, step) AS (VALUES {", ".join(rows)}),
+blocks AS (SELECT doc_id, label, tokens, must, need, w[k * step + 1:k * step + size] AS block
+  FROM (SELECT d.*, t.*, unnest(range(0, (len(w) + step - 1) // step)) AS k FROM d JOIN t ON list_has_all(d.w, t.must))),
+found AS (SELECT doc_id, label, len(list_intersect(tokens, block)) / len(tokens) AS c FROM blocks
+  WHERE list_has_all(block, must) AND len(list_intersect(tokens, block)) >= need),
+places AS ({places}),
+base AS (SELECT doc_id, count(*) AS n, min(s) - 1 AS a, max(s) - 1 AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS c FROM (SELECT doc_id, label, c FROM found UNION ALL SELECT doc_id, label, 1.0 FROM places) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(labels.labels, '') AS labels, CAST(coalesce(c, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8, "op10_jaccard_join": OP10}
+    return {"op2_license_scan": op2(), "op3_substrings": OP3, "op8_decontaminate": OP8, "op10_jaccard_join": OP10}

@@ -17,13 +17,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import dedup_substrings
 
-    return dedup_substrings(table(spark, sf_dir, "documents"))
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
