@@ -607,6 +607,50 @@ def test_language(spark):
     assert LG.identify_languages(frame(spark, [])).count() == 0
 
 
+def test_language_mixtures_against_all_subsets():
+    """The chosen languages and shares are those of the best of all subsets, each fitted by plain EM to its end."""
+    r = random.Random(21)
+    sounds = {"aa": ["ba", "lo", "mi", "ta"], "bb": ["sch", "unt", "ger", "ta"], "cc": ["que", "ión", "los", "ba"], "dd": ["zzo", "lli", "mi"]}
+
+    def text(lang, n):
+        return " ".join("".join(r.choice(sounds[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+
+    names = sorted(sounds)
+    counts = np.full((LG.BINS, len(names)), 0.5)
+    for k, lang in enumerate(names):
+        bins, n = LG.gram_counts(text(lang, 800))
+        counts[bins, k] += n
+    likelihoods = counts / counts.sum(axis=0)
+    m = LG.Mixture(names, likelihoods, 3.0, 12)
+    same = closest = total = 0
+    for k in range(60):
+        mixed = r.sample(names, 1 + k % 3)
+        bins, n = LG.gram_counts(" ".join(text(x, r.randint(15, 40)) for x in mixed))
+        best = None
+        for subset in range(1, 1 << len(names)):
+            own = [i for i in range(len(names)) if subset >> i & 1]
+            share = {i: 1 / len(own) for i in own}
+            for _ in range(200):
+                part = {i: 0.0 for i in own}
+                for b, c in zip(bins.tolist(), n.tolist(), strict=True):
+                    whole = sum(share[i] * likelihoods[b, i] for i in own)
+                    for i in own:
+                        part[i] += c * share[i] * likelihoods[b, i] / whole
+                share = {i: x / n.sum() for i, x in part.items()}
+                if len(own) == 1:
+                    break
+            ll = sum(c * np.log(sum(share[i] * likelihoods[b, i] for i in own)) for b, c in zip(bins.tolist(), n.tolist(), strict=True))
+            value = ll - 3.0 * np.log(n.sum() + 1) * len(own)
+            if best is None or value > best[0]:
+                best = value, own, share
+        live, share = m.infer(bins, n)
+        same += list(live) == best[1]
+        closest += list(live) == best[1] and all(abs(best[2][i] - x) < 0.02 for i, x in zip(live.tolist(), share, strict=True))
+        total += 1
+        assert {names[i] for i in best[1]} == set(mixed)
+    assert same >= 0.95 * total and closest >= 0.9 * total
+
+
 def brute_jaccard(rows, n, percent):
     sets = []
     for d, t in rows:
