@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, documents, texts_of
+from .common import ascii_words, documents, stored, texts_of
 
 SAMPLE = 16
 SHARD_WORDS = 1 << 20
@@ -194,71 +195,80 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items:
     sorted, comma-joined), contaminated (n_items >= min_items), spans (merged removal spans, in words,
     end exclusive). Null and empty texts have no words and no hits; items without words or without an id
     match nothing; repeated item ids count once; repeated documents each get a row; other columns are
-    ignored. The benchmark reaches the executors in blocks of at most about ITEM_BLOCK_BYTES, and a shard's
-    index covers about SHARD_WORDS words, so memory is bounded by these and by the longest document.
+    ignored. The benchmark reaches the executors in blocks of about ITEM_BLOCK_BYTES, one after the other: only one
+    is on the driver and broadcast at a time, and what it finds is stored. A shard's index covers about SHARD_WORDS
+    words, so memory is bounded by these and by the longest document.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(
         "item_id is not null and text is not null"
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = []
-    n_blocks = -(-size // ITEM_BLOCK_BYTES) or 1
-    for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
-        blocks.append(spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in rows]))
+    blocks = -(-size // ITEM_BLOCK_BYTES) or 1
+    rows = documents(docs).withColumn("row", F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long"))
+    if blocks > 1:
+        rows, _ = stored(rows, "numbered-texts")
+    parts = []
+    for b in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        shared = spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own])
+        part = rows.mapInArrow(searcher(shared, n), FOUND_SCHEMA)
+        if blocks > 1:
+            part, _ = stored(part, "benchmark-hits")
+            shared.destroy()
+        parts.append(part)
+    found = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]
+        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists)
+
+    def summary(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                spans, own = merged([(x["first"], x["last"]) for x in r["spans"]]), sorted(set(r["items"]))
+                digest = hashlib.sha256(",".join(own).encode()).hexdigest()
+                spans_ = [{"first": a, "last": b} for a, b in spans]
+                out.append({"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": sum(b - a for a, b in spans), "n_items": len(own), "items_sha256": digest, "contaminated": len(own) >= min_items, "spans": spans_})
+            yield pa.RecordBatch.from_pylist(out, schema=ARROW)
+
+    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(summary, SCHEMA)
+
+
+FOUND_SCHEMA = "row long, doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+FOUND_ARROW = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))]
+)
+
+
+def searcher(shared, n: int):
+    """Shards of documents, searched for one block of the benchmark."""
 
     def run(batches):
-        compiled = [None] * len(blocks)
-
-        def block(k):
-            if compiled[k] is None:
-                made = compile_items(blocks[k].value, n)
-                if len(blocks) > 1:
-                    return made  # one at a time
-                compiled[k] = made
-            return compiled[k]
-
-        def shard(ids, texts):
-            out = [[len(w), [], set()] for w in texts]
-            for k in range(len(blocks)):
-                b = block(k)
-                if b["shortest"]:
-                    get = b["vocab"].get
-                    symbols = [np.array([get(w, 0) for w in words], np.int64) for words in texts]
-                    for d, (spans, found) in search_shard(symbols, b).items():
-                        out[d][1] += spans
-                        out[d][2] |= found
-            rows = []
-            for doc, (words, spans, found) in zip(ids, out, strict=True):
-                spans = merged(spans)
-                rows.append(
-                    {
-                        "doc_id": doc,
-                        "n_words": words,
-                        "n_hit": sum(b - a for a, b in spans),
-                        "n_items": len(found),
-                        "items_sha256": hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(),
-                        "contaminated": len(found) >= min_items,
-                        "spans": [{"first": a, "last": b} for a, b in spans],
-                    }
-                )
-            return pa.RecordBatch.from_pylist(rows, schema=ARROW)
-
-        ids, texts, held = [], [], 0
+        block = compile_items(shared.value, n)
+        get = block["vocab"].get
+
+        def shard(keys, texts):
+            hits = search_shard([np.array([get(w, 0) for w in words], np.int64) for words in texts], block) if block["shortest"] else {}
+            out = []
+            for d, ((row, doc), words) in enumerate(zip(keys, texts, strict=True)):
+                spans, items = hits.get(d, ((), ()))
+                out.append({"row": row, "doc_id": doc, "n_words": len(words), "spans": [{"first": a, "last": b} for a, b in spans], "items": list(items)})
+            return pa.RecordBatch.from_pylist(out, schema=FOUND_ARROW)
+
+        keys, texts, held = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                words = ascii_words(text)
-                ids.append(doc)
-                texts.append(words)
-                held += len(words) + 1
+            for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+                keys.append((row, doc))
+                texts.append(ascii_words(text))
+                held += len(texts[-1]) + 1
                 if held >= SHARD_WORDS:
-                    yield shard(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield shard(ids, texts)
+                    yield shard(keys, texts)
+                    keys, texts, held = [], [], 0
+        if keys:
+            yield shard(keys, texts)
 
-    return documents(docs).mapInArrow(run, SCHEMA)
+    return run
 
 
 ARROW = pa.schema(

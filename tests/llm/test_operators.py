@@ -623,14 +623,14 @@ def test_language_mixtures_against_all_subsets():
     likelihoods = counts / counts.sum(axis=0)
     m = LG.Mixture(names, likelihoods, 3.0, 12)
     same = closest = total = 0
-    for k in range(60):
+    for k in range(24):
         mixed = r.sample(names, 1 + k % 3)
         bins, n = LG.gram_counts(" ".join(text(x, r.randint(15, 40)) for x in mixed))
         best = None
         for subset in range(1, 1 << len(names)):
             own = [i for i in range(len(names)) if subset >> i & 1]
             share = {i: 1 / len(own) for i in own}
-            for _ in range(200):
+            for _ in range(60):
                 part = {i: 0.0 for i in own}
                 for b, c in zip(bins.tolist(), n.tolist(), strict=True):
                     whole = sum(share[i] * likelihoods[b, i] for i in own)
