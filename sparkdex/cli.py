@@ -124,7 +124,7 @@ class Runner:
             return self.say(f"sparkdex {__version__}\n")
         if name == "workspace":
             if not rest:
-                raise UsageError(name, "no subcommand given, want list, add or remove")
+                raise UsageError(name, "one of list, add and remove is needed")
             if rest[0] in ("-h", "-help", "--help"):
                 raise HelpAsked(name)
             name, rest = f"workspace {rest[0]}", rest[1:]
@@ -178,7 +178,7 @@ class Runner:
 
     def workspace_add(self, flags, rest) -> None:
         if len(rest) not in (2, 3):
-            raise UsageError("workspace add", "want a name, a corpus root and an optional output directory")
+            raise UsageError("workspace add", "takes NAME ROOT [OUTPUT]")
         w = Workspace.load(flags["root"])
         w.add(*rest)
         w.save(flags["root"])
@@ -186,7 +186,7 @@ class Runner:
 
     def workspace_remove(self, flags, rest) -> None:
         if len(rest) != 1:
-            raise UsageError("workspace remove", "want exactly one corpus name")
+            raise UsageError("workspace remove", "takes NAME")
         w = Workspace.load(flags["root"])
         if not w.remove(rest[0]):
             raise NotFound(f"not registered: {rest[0]}")

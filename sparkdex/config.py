@@ -88,14 +88,14 @@ def canonical(path: str) -> str:
 def check(cfg: Config) -> None:
     out = cfg.output_dir
     if not out.strip():
-        raise ConfigError("OutputDir", "must not be empty")
+        raise ConfigError("OutputDir", "is blank")
     if out.startswith("/") or len(out) > 1 and out[1] == ":" and out[0].isascii() and out[0].isalpha():
-        raise ConfigError("OutputDir", "must be relative to the corpus root")
+        raise ConfigError("OutputDir", "is an absolute path")
     clean = canonical(out)
     if clean == ".." or clean.startswith("../"):
-        raise ConfigError("OutputDir", "must not escape the corpus root")
+        raise ConfigError("OutputDir", "leads out of the corpus root")
     if clean == ".":
-        raise ConfigError("OutputDir", "must name a directory below the corpus root")
+        raise ConfigError("OutputDir", "is the corpus root itself")
     for field, value, least, reason in (
         ("MinTermLength", cfg.min_term_length, 1, "must be at least 1"),
         ("SegmentDocs", cfg.segment_docs, 1, "must be at least 1"),

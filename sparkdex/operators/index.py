@@ -43,8 +43,13 @@ class Index:
         n, mean = self.docs.agg(F.count("*"), F.avg("length")).first()
         return n, float(mean or 0.0)
 
+    def vocabulary(self) -> DataFrame:
+        """Every term once."""
+        rows = self.postings.select("term") if self.texts is None else self.texts.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        return rows.distinct()
+
     def term_count(self) -> int:
-        return self.postings.select("term").distinct().count()
+        return self.vocabulary().count()
 
 
 def empty(spark: SparkSession) -> Index:

@@ -26,7 +26,7 @@ class Corpus:
 def headline(index: Index) -> DataFrame:
     """One row: documents, terms, tokens."""
     docs = index.docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("tokens"))
-    return docs.crossJoin(index.postings.agg(F.countDistinct("term").alias("terms"))).select("documents", "terms", "tokens")
+    return docs.crossJoin(index.vocabulary().agg(F.count("*").alias("terms"))).select("documents", "terms", "tokens")
 
 
 def by_field(index: Index, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import changes, stats
 from ..operators.index import Index, add_postings, build, merge, segment_terms, segmented
 from ..sources.tables import documents, table
-from . import cases
+from . import cases, lifecycle
 from . import search as S
 from .query import parse
 
@@ -228,7 +228,7 @@ def queries():
     plain += [largest_docs, body_normalize, title_first_line, content_hash, kind_language, path_parts, watch_plan, cache_hits, cache_misses, cache_prune, top_per_source]
     found = {f.__name__: f for f in plain}
     found |= {k: _hits(*v[:2]) for k, v in HITS.items()}
-    return found | {k: _ranked(*v[:2]) for k, v in RANKED.items()} | cases.queries()
+    return found | {k: _ranked(*v[:2]) for k, v in RANKED.items()} | cases.queries() | lifecycle.queries()
 
 
 def _with() -> str:
@@ -334,4 +334,4 @@ def oracle_sql() -> dict[str, str]:
         "top_per_source": w + "SELECT source, doc_id, length, place FROM (SELECT source, doc_id, length, CAST(row_number() OVER (PARTITION BY source ORDER BY length DESC, doc_id) AS INTEGER) AS place FROM lengths) WHERE place <= 3",
     }
     found |= {k: _hits_sql(k) + "SELECT doc_id, freq FROM hits" for k in HITS}
-    return found | {k: _ranked_sql(*v[1:]) for k, v in RANKED.items()} | cases.oracle_sql()
+    return found | {k: _ranked_sql(*v[1:]) for k, v in RANKED.items()} | cases.oracle_sql() | lifecycle.oracle_sql()

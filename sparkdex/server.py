@@ -66,7 +66,7 @@ class Handler(BaseHTTPRequestHandler):
         elif url.path != "/search":
             self.fail(404, f"no such endpoint: {url.path}")
         elif self.app is None:
-            self.fail(500, "search is unavailable: no application configured")
+            self.fail(500, "this server has no application to search with")
         else:
             asked = parse_qs(url.query, keep_blank_values=True)
             first = lambda k: asked.get(k, [""])[0]
