@@ -29,7 +29,10 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language of a share of LEAST_SHARE, go."""
+    """Documents without a letter, or without a language of a share of LEAST_SHARE, go.
+
+    Null and empty texts have no letter. A repeated doc_id goes with all its rows if one of them does.
+    """
     gone = identify_languages(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE))
     return without(docs, gone)
 
@@ -38,6 +41,7 @@ def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Of documents that link by five-word shingles at 0.8 or more, directly or not, the smallest doc_id stays.
 
     Where doc_ids repeat, each text of one is a document of its own: of a group, the smallest doc_id's first by text.
+    Null and empty texts link with nothing and stay.
     """
     ids = docs.where("doc_id is not null").groupBy("doc_id").count()
     if not ids.where("count > 1").limit(1).count():
@@ -52,12 +56,15 @@ def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of any benchmark item go: one whole item is contamination already."""
+    """Documents that hold a window of any benchmark item go: one whole item is contamination already.
+
+    Null and empty texts hold none and stay. A repeated doc_id goes with all its rows if one of them does.
+    """
     return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_items >= 1"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of a secret is replaced; n_chars follows the text."""
+    """Every span of a secret is replaced; n_chars follows the text. No row goes; null and empty texts stay as they are."""
     out = docs.withColumn("text", redacted_text(F.col("text")))
     if "n_chars" in docs.columns:
         changed = F.coalesce(F.length("text"), F.lit(0)) != F.coalesce(docs["n_chars"], F.lit(-1))
@@ -66,7 +73,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens. Null and empty texts are the end id alone, and each row of a
+    repeated doc_id is a document of its own."""
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -752,6 +752,17 @@ def test_pipeline_stages(spark, odd, tmp_path):
     assert {x.doc_id for x in packed} == set(safe) and [n for n, _ in C.STAGES] == ["language", "jaccard", "decontaminate", "secrets", "packing"]
 
 
+def test_pipeline_stages_without_rows(spark, tmp_path):
+    """Each stage takes a table without rows, whose other columns have names that are used inside."""
+    import corpus_pipeline as C
+
+    frame(spark, [(1, "some item of words")]).withColumnRenamed("doc_id", "item_id").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [])
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
 def test_pipeline_removes_a_single_item(spark, tmp_path):
     import corpus_pipeline as C
 
