@@ -77,16 +77,18 @@ def build(documents: DataFrame, cfg: Config = Config()) -> Index:
     Documents are dealt by id before they are tokenized: what is shuffled is texts, and a document's postings are
     then grouped where it is.
     """
-    columns = ["doc_id", "fields", "title", "content_hash"]
+
+    def token_rows(rows: DataFrame) -> DataFrame:
+        return rows if "tokens" in rows.columns else tokenized(rows, cfg)
 
     def with_tokens(rows: DataFrame) -> DataFrame:
-        own = rows if "tokens" in rows.columns else tokenized(rows, cfg)
-        return own.select(*columns, once(F.col("tokens")).alias("tokens"))
+        return token_rows(rows).select("doc_id", "fields", "title", "content_hash", once(F.col("tokens")).alias("tokens"))
 
     texts = with_tokens(documents).withColumn("length", F.size("tokens"))
     exploded = with_tokens(documents.repartition("doc_id")).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
     postings = exploded.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    docs = texts.select("doc_id", "length", "fields", "title", "content_hash")
+    # not from ``texts``: where no length is asked for, nothing is tokenized
+    docs = token_rows(documents).select("doc_id", F.size("tokens").alias("length"), "fields", "title", "content_hash")
     return Index(docs, postings.select("term", "doc_id", "tf", "positions"), texts.select("doc_id", "length", "fields", "title", "content_hash", "tokens"))
 
 

@@ -78,7 +78,7 @@ def selected(index: Index, query: Query, filters: dict[str, str] | None = None)
     """Matching documents with ``freq`` (summed over positive clauses) and ``__words`` (word -> positions)."""
     clauses = [c for c in query.clauses if not c.empty]
     words = sorted({w for c in clauses if not c.field for w in c.words})
-    docs = index.docs if index.texts is None else index.texts
+    docs = index.texts if words and index.texts is not None else index.docs
     for name, value in (filters or {}).items():
         docs = docs.where(field_value(name) == value)
     for c in clauses:
