@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -59,8 +60,34 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What this Python worker keeps for its next tasks: one thing at a time, until work that has no use for it lets go."""
+    if name not in _kept:
+        let_go()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Drop what is kept, and give memory that isn't in use back to the machine: workers are idle, not gone, between tasks."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    """mapInArrow, for work without a use for what its worker keeps."""
+
+    def run(batches):
+        let_go()
+        yield from f(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, documents, stored, texts_of
+from .common import ascii_words, documents, map_arrow, stored, texts_of
 
 SAMPLE = 16
 SHARD_WORDS = 1 << 20
@@ -208,19 +208,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items:
     rows = documents(docs).withColumn("row", F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long"))
     if blocks > 1:
         rows, _ = stored(rows, "numbered-texts")
-    parts = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own])
-        part = rows.mapInArrow(searcher(shared, n), FOUND_SCHEMA)
-        if blocks > 1:
-            part, _ = stored(part, "benchmark-hits")
-            shared.destroy()
-        parts.append(part)
-    found = reduce(DataFrame.unionByName, parts)
-    if blocks > 1:
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]
-        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists)
 
     def summary(batches):
         for batch in batches:
@@ -232,7 +219,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items:
                 out.append({"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": sum(b - a for a, b in spans), "n_items": len(own), "items_sha256": digest, "contaminated": len(own) >= min_items, "spans": spans_})
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(summary, SCHEMA)
+    parts = []
+    for b in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        shared = spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own])
+        search = searcher(shared, n)
+        if blocks == 1:  # in one pass: a second one would take a second Python worker for each core
+            return map_arrow(rows, lambda batches: summary(search(batches)), SCHEMA)
+        part, _ = stored(map_arrow(rows, search, FOUND_SCHEMA), "benchmark-hits")
+        shared.destroy()
+        parts.append(part)
+    found = reduce(DataFrame.unionByName, parts)
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]
+    found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists)
+    return map_arrow(found.select("doc_id", "n_words", "spans", "items"), summary, SCHEMA)
 
 
 FOUND_SCHEMA = "row long, doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"

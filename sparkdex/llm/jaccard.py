@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, drop, free_shuffles, mix, space_words, stored, texts_of
+from .common import WordHashes, documents, drop, free_shuffles, map_arrow, mix, space_words, stored, texts_of
 from .components import components
 
 #: The zone holds this many times a prefix, on average.
@@ -122,7 +122,7 @@ def profiles(docs: DataFrame, n: int, percent: int, words_of: Callable) -> DataF
             yield pa.RecordBatch.from_arrays(own, names=names)
 
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in names[:6]), "low array<long>", "sketch array<long>"]))
+    return map_arrow(rows, run, ", ".join([*(f"{c} long" for c in names[:6]), "low array<long>", "sketch array<long>"]))
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 arrays = [own.column("doc"), own.column("size"), pa.array(columns[0], pa.int64()), *map(lists, columns[1:]), own.column("sketch")]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return sets.mapInArrow(run, ", ".join(["doc long", "size long", "alone long", *(f"{c} array<long>" for c in names[3:])]))
+    return map_arrow(sets, run, ", ".join(["doc long", "size long", "alone long", *(f"{c} array<long>" for c in names[3:])]))
 
 
 def shared_prefixes(rows: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, str]:
@@ -220,7 +220,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, words_of:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    links, links_path = stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    links, links_path = stored(map_arrow(joined.select("a", "b", "x", "y"), run, "a long, b long"), "links")
     drop(spark, pairs_path, texts_path)
     free_shuffles(spark)
     return links, links_path

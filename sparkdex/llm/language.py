@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 BINS = 1 << 15
 FLUSH = 64
 SPACE = np.uint32(32)
@@ -118,7 +120,7 @@ def learn(docs: DataFrame, of: int, held: int, alpha: float = 0.5) -> tuple[list
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bin": at.astype(np.int32), "n": n[at]}, schema=pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("n", pa.float64())]))
 
-    found = rows.select("lang", "text").mapInArrow(count, "lang string, bin int, n double").groupBy("lang", "bin").agg(F.round(F.sum("n"), 6).alias("n")).toPandas()
+    found = map_arrow(rows.select("lang", "text"), count, "lang string, bin int, n double").groupBy("lang", "bin").agg(F.round(F.sum("n"), 6).alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     n = np.zeros((BINS, len(languages)))
     for k, lang in enumerate(languages):
@@ -158,4 +160,5 @@ def identify_languages(docs: DataFrame, of: int = 4, held: int = 2, penalty: flo
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW.types, strict=True)] if out else [pa.array([], t) for t in ARROW.types], schema=ARROW)
 
     held_out = F.coalesce(fold("doc_id", of) == held, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(predict, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, predict, SCHEMA)

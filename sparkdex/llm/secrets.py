@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, let_go, map_arrow
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
@@ -119,7 +119,7 @@ def secret_scan(docs: DataFrame, reach: int = 400) -> DataFrame:
                 out.append((doc, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(rendered(base).encode()).hexdigest(), rendered(spans)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW.types, strict=True)] if out else [pa.array([], t) for t in ARROW.types], schema=ARROW)
 
-    return documents(docs).mapInArrow(scan, SCHEMA)
+    return map_arrow(documents(docs), scan, SCHEMA)
 
 
 def redacted(text: str, spans, mark: str = "[SECRET]") -> str:
@@ -137,6 +137,7 @@ def redacted_text(text, reach: int = 400):
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:
+        let_go()
         return texts.map(lambda t: t if t is None else redacted(t, spans) if (spans := scan_text(t, reach)[1]) else t)
 
     return redact(text)

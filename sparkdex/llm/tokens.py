@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
 
 import numpy as np
 
+from .common import kept
+
 #: Letters and numbers among the characters of common texts: ASCII, and U+00A1 to U+017F without U+0130 (whose
 #: lower case is two characters). In these no normal form, and no version of Unicode, makes a difference.
 L, N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -131,7 +132,6 @@ class PieceEncoder:
         return np.frombuffer(made + tail.tobytes(), "<u2")
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> PieceEncoder:
-    """A worker's encoder: what it remembers serves its next tasks as well."""
-    return PieceEncoder(path)
+    """A worker's encoder: what it remembers serves its next tasks as well, until other work takes its place."""
+    return kept(path, lambda: PieceEncoder(path))

@@ -785,6 +785,39 @@ def test_pipeline_keeps_texts_of_a_repeated_id(spark):
     assert Counter((x.doc_id, x.text) for x in once.collect()) == want and once.columns == DDL.replace(",", "").split()[::2]
 
 
+def test_decontaminate_takes_one_python_worker(spark, odd):
+    """A stage of two Python passes holds two workers for each core."""
+    bench = spark.createDataFrame([(1, "w1 w2"), (2, "w3")], "item_id long, text string")
+    plan = D.decontaminate(frame(spark, odd), bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def encoders_in_workers(spark):
+    def count(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for batch in batches:
+            n = sum(type(x).__name__ == "PieceEncoder" for x in gc.get_objects())
+            yield pa.RecordBatch.from_pydict({"n": [n] * batch.num_rows}, schema=pa.schema([("n", pa.int64())]))
+
+    return sum(x.n for x in spark.range(0, 64, 1, 64).mapInArrow(count, "n long").collect())
+
+
+@pytest.mark.parametrize("stage", ["language", "jaccard", "decontaminate", "secrets"])
+def test_workers_let_go_of_the_encoder(spark, tmp_path, stage):
+    """What packing leaves in the Python workers isn't held through the next run's other stages."""
+    import corpus_pipeline as C
+
+    spark.createDataFrame([(1, "w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [(k, f"alpha beta w{k} gamma delta", "en") for k in range(200)]).repartition(64)
+    C.pack(spark, docs, "").count()
+    assert encoders_in_workers(spark) > 0
+    dict(C.STAGES)[stage](spark, docs, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert encoders_in_workers(spark) == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables aren't there")
 def test_registered(spark):
     import __spark_entry__ as entry
