@@ -133,12 +133,33 @@ def merge(*indexes: Index) -> Index:
     return Index(docs.drop("__from"), postings.select("term", "doc_id", "tf", "positions"))
 
 
+def bounds_of(rows: DataFrame, key: str, parts: int, each: int = 100) -> list:
+    """At most parts - 1 ascending keys that split rows into ranges of about one size; from ``each`` keys a part, those
+    of the least hashes, so that what comes to the driver doesn't grow with the rows."""
+    keys = rows.select(key).where(F.col(key).isNotNull())
+    found = sorted(r[0] for r in keys.orderBy(F.xxhash64(key)).limit(parts * each).collect())
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+
+
+def range_of(key: Column, bounds: list) -> Column:
+    """The place of a key among ranges that begin at ascending bounds; null is before all."""
+
+    def within(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key >= F.lit(bounds[mid]), within(mid + 1, hi)).otherwise(within(lo, mid))
+
+    return within(0, len(bounds))
+
+
 def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows with ``ordinal``, their place from 0 by key. Two passes, so that no window spans all rows: the rows of
-    range partitions are counted, and each partition numbers its own from its predecessors' sum."""
+    ranges of keys are counted, and each range numbers its own from its predecessors' sum. The ranges are set once,
+    as values: repartitionByRange would sample other ones in the second pass than those counted in the first."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id())
+    bounds = bounds_of(docs, key, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = docs.withColumn("__part", range_of(F.col(key), bounds))
     counts = sorted(ranged.groupBy("__part").count().collect())
     before, at = {}, 0
     for r in counts:

@@ -4,7 +4,7 @@ import pytest
 
 from sparkdex.errors import QueryError
 from sparkdex.operators import changes, stats
-from sparkdex.operators.index import Index, add_postings, build, empty, merge, segment_terms, segmented, upsert
+from sparkdex.operators.index import Index, add_postings, build, empty, merge, numbered, segment_terms, segmented, upsert
 from sparkdex.plans import search as S
 from sparkdex.plans.query import Clause, Query, parse
 
@@ -106,6 +106,17 @@ def test_segments(spark):
     assert {r.segment for r in segmented(i.docs, 0).collect()} == {"seg-0001"}
 
 
+def test_numbers_of_many_rows(spark):
+    """More rows than a range partitioning samples whole: its bounds, and so the numbers, differed between two passes."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(0, 30000, 1, 3).select(F.format_string("d/%06d", F.col("id") * 7919 % 30000).alias("doc_id"))
+    assert numbered(ids).where("ordinal <> cast(substr(doc_id, 3) as long)").count() == 0
+    assert numbered(ids).select("ordinal").distinct().count() == 30000
+    few = numbered(spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "doc_id string"))
+    assert sorted(((r.doc_id or "", r.ordinal) for r in few.collect())) == [("", 0), ("a", 1), ("b", 2), ("b", 3)]
+
+
 def test_stats(index):
     c = stats.compute(index)
     assert (c.documents, c.terms, c.tokens) == (5, 3, 14)
