@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,11 +72,27 @@ def once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
+def grouped(dealt: DataFrame, tokens_of: Callable[[Column], Column]) -> DataFrame:
+    """POSTINGS from rows of (doc_id, texts), grouped within each row: its occurrences are sorted by term and position
+    and cut where the term changes. Nothing is sorted or aggregated over rows, so nothing spills."""
+    occurrences = F.flatten(F.transform("texts", lambda x: F.transform(tokens_of(x), lambda t, n: F.struct(t.alias("term"), n.alias("pos")))))
+    rows = dealt.select("doc_id", once(F.sort_array(occurrences)).alias("at"))
+    firsts = F.transform("at", lambda x, n: F.when((n == 0) | (x["term"] != F.get("at", n - 1)["term"]), n))
+    rows = rows.select("doc_id", "at", once(F.array_compact(firsts)).alias("firsts"))
+
+    def posting(first: Column, n: Column) -> Column:
+        tf = F.coalesce(F.get("firsts", n + 1), F.size("at")) - first
+        positions = F.transform(F.slice("at", first + 1, tf), lambda x: x["pos"])
+        return F.struct(F.get("at", first)["term"].alias("term"), tf.alias("tf"), positions.alias("positions"))
+
+    return rows.select("doc_id", F.explode(F.transform("firsts", posting)).alias("p")).select("p.term", "doc_id", "p.tf", "p.positions")
+
+
 def build(documents: DataFrame, cfg: Config = Config()) -> Index:
     """From documents of distinct ids, with a body or, already, tokens.
 
     Documents are dealt by id before they are tokenized: what is shuffled is texts, and a document's postings are
-    then grouped where it is.
+    then grouped where it is, within its row.
     """
 
     def token_rows(rows: DataFrame) -> DataFrame:
@@ -85,11 +102,12 @@ def build(documents: DataFrame, cfg: Config = Config()) -> Index:
         return token_rows(rows).select("doc_id", "fields", "title", "content_hash", once(F.col("tokens")).alias("tokens"))
 
     texts = with_tokens(documents).withColumn("length", F.size("tokens"))
-    exploded = with_tokens(documents.repartition("doc_id")).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-    postings = exploded.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    own = "tokens" if "tokens" in documents.columns else "body"
+    dealt = documents.select("doc_id", own).repartition("doc_id").groupBy("doc_id").agg(F.collect_list(own).alias("texts"))
+    postings = grouped(dealt, lambda x: x if own == "tokens" else tokens(x, cfg))
     # not from ``texts``: where no length is asked for, nothing is tokenized
     docs = token_rows(documents).select("doc_id", F.size("tokens").alias("length"), "fields", "title", "content_hash")
-    return Index(docs, postings.select("term", "doc_id", "tf", "positions"), texts.select("doc_id", "length", "fields", "title", "content_hash", "tokens"))
+    return Index(docs, postings, texts.select("doc_id", "length", "fields", "title", "content_hash", "tokens"))
 
 
 def upsert(index: Index, documents: DataFrame, cfg: Config = Config()) -> Index:

@@ -117,6 +117,23 @@ def test_numbers_of_many_rows(spark):
     assert sorted(((r.doc_id or "", r.ordinal) for r in few.collect())) == [("", 0), ("a", 1), ("b", 2), ("b", 3)]
 
 
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_grouped_within_rows(spark):
+    """Nothing is sorted or aggregated by term, over however many rows; texts of one id are one document."""
+    import re
+
+    rows = [("x", ["b", "a", "b"]), ("y", []), ("x", ["a", "c"]), ("z", ["\U0001d7d8", "\uff5a", "\uff5a"])]
+    i = build(spark.createDataFrame([(d, t, {}, d, d) for d, t in rows], TOKENS))
+    got = {(r.doc_id, r.term): (r.tf, list(r.positions)) for r in i.postings.collect()}
+    assert got == {("x", "a"): (2, [0, 1]), ("x", "b"): (2, [0, 2]), ("x", "c"): (1, [1]), ("z", "\U0001d7d8"): (1, [0]), ("z", "\uff5a"): (2, [1, 2])}
+    assert i.postings.count() == 5
+    plan = plan_of(i.postings)
+    assert not re.search(r"(keys|key)=\[[^\]]*term", plan) and not re.search(r"\bSort \[", plan)
+
+
 def test_stats(index):
     c = stats.compute(index)
     assert (c.documents, c.terms, c.tokens) == (5, 3, 14)
