@@ -31,7 +31,7 @@ class Index:
             both = F.explode(F.array(F.struct(F.col("tokens").alias("t"), F.lit(0).alias("docs")), F.struct(F.array_distinct("tokens").alias("t"), F.lit(1).alias("docs"))))
             rows = self.texts.select(both.alias("x")).select("x.docs", F.explode("x.t").alias("term"))
             return rows.groupBy("term").agg(F.sum("docs").cast("int").alias("doc_freq"), F.sum(1 - F.col("docs")).alias("total_freq"))
-        return self.postings.groupBy("term").agg(F.count("*").cast("int").alias("doc_freq"), F.sum("tf").alias("total_freq"))
+        return frequencies(self.postings, ["term"])
 
     def of_term(self, term: str) -> DataFrame:
         return self.postings.where(F.col("term") == term)
@@ -53,6 +53,17 @@ class Index:
         return self.vocabulary().count()
 
 
+def frequencies(postings: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """(keys, doc_freq, total_freq) of postings, and more sums over them."""
+    return postings.groupBy(*keys).agg(F.count("*").cast("int").alias("doc_freq"), F.sum("tf").alias("total_freq"), *more)
+
+
+def beside(postings: DataFrame, docs: DataFrame, how: str = "inner") -> DataFrame:
+    """Postings (or texts) with columns of their documents. Documents are looked up in a hash table of each task's own, so that
+    neither is sorted, and postings that ``build`` has dealt by id aren't shuffled again."""
+    return postings.join(docs.hint("shuffle_hash"), "doc_id", how)
+
+
 def empty(spark: SparkSession) -> Index:
     return Index(spark.createDataFrame([], DOCS), spark.createDataFrame([], POSTINGS))
 
@@ -199,5 +210,4 @@ def segmented(docs: DataFrame, max_docs: int) -> DataFrame:
 
 def segment_terms(index: Index, segments: DataFrame) -> DataFrame:
     """(segment, term, doc_freq, total_freq) within each segment."""
-    rows = index.postings.join(segments.select("doc_id", "segment"), "doc_id")
-    return rows.groupBy("segment", "term").agg(F.count("*").cast("int").alias("doc_freq"), F.sum("tf").alias("total_freq"))
+    return frequencies(beside(index.postings, segments.select("doc_id", "segment")), ["segment", "term"])

@@ -134,6 +134,21 @@ def test_postings_are_grouped_within_rows(spark):
     assert not re.search(r"(keys|key)=\[[^\]]*term", plan) and not re.search(r"\bSort \[", plan)
 
 
+def test_segment_terms_of_many_documents(spark):
+    """Against a plain count, for more documents than a range partitioning samples whole; postings aren't sorted."""
+    rows = [(f"d/{k * 7919 % 6000:06d}", ["a", f"w{k % 7}", "a"], {}, "", "") for k in range(6000)]
+    i = build(spark.createDataFrame(rows, TOKENS))
+    got = segment_terms(i, segmented(i.docs, 50))
+    want = {}
+    for d, words, *_ in rows:
+        segment = f"seg-{int(d[2:]) // 50 + 1:04d}"
+        for w in set(words):
+            df, tf = want.get((segment, w), (0, 0))
+            want[segment, w] = df + 1, tf + words.count(w)
+    assert {(r.segment, r.term): (r.doc_freq, r.total_freq) for r in got.collect()} == want
+    assert "SortMergeJoin" not in plan_of(got)
+
+
 def test_stats(index):
     c = stats.compute(index)
     assert (c.documents, c.terms, c.tokens) == (5, 3, 14)
