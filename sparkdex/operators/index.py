@@ -59,8 +59,8 @@ def frequencies(postings: DataFrame, keys: list[str], *more: Column) -> DataFram
 
 
 def beside(postings: DataFrame, docs: DataFrame, how: str = "inner") -> DataFrame:
-    """Postings (or texts) with columns of their documents. Documents are looked up in a hash table of each task's own, so that
-    neither is sorted, and postings that ``build`` has dealt by id aren't shuffled again."""
+    """Postings with columns of their documents. Documents are looked up in a hash table of each task's own, so that
+    they aren't sorted, and those that ``build`` has dealt by id aren't shuffled again."""
     return postings.join(docs.hint("shuffle_hash"), "doc_id", how)
 
 
@@ -152,13 +152,20 @@ def rebuild(docs: DataFrame, postings: DataFrame) -> Index:
 
 
 def merge(*indexes: Index) -> Index:
-    """The union of indexes; of documents of one id, the last index's, with its postings alone."""
+    """The union of indexes; of documents of one id, the last index's, with its postings alone.
+
+    Each index's postings are held to its own remaining documents by id alone, before the union, so they stay where
+    ``build`` has dealt them.
+    """
     docs = postings = None
     for k, i in enumerate(indexes):
-        d, p = i.docs.withColumn("__from", F.lit(k)), i.postings.withColumn("__from", F.lit(k))
-        docs, postings = (d, p) if docs is None else (docs.unionByName(d), postings.unionByName(p))
+        d = i.docs.withColumn("__from", F.lit(k))
+        docs = d if docs is None else docs.unionByName(d)
     docs = last_wins(docs, F.col("__from"))
-    postings = postings.join(docs.select("doc_id", "__from"), ["doc_id", "__from"], "left_semi")
+    for k, i in enumerate(indexes):
+        own = docs.where(F.col("__from") == k).select("doc_id")
+        p = beside(i.postings.select("term", "doc_id", "tf", "positions"), own, "left_semi")
+        postings = p if postings is None else postings.unionByName(p)
     return Index(docs.drop("__from"), postings.select("term", "doc_id", "tf", "positions"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as T
 from ..operators import changes, stats
-from ..operators.index import Index, add_postings, build, merge, segment_terms, segmented
+from ..operators.index import Index, add_postings, beside, build, frequencies, merge, segment_terms, segmented
 from ..sources.tables import documents, table
 from . import cases, lifecycle
 from . import search as S
@@ -96,7 +96,8 @@ def merge_last_wins(spark, sf_dir):
 def add_postings_terms(spark, sf_dir):
     i = index(spark, sf_dir)
     again = add_postings(Index(i.docs.limit(0), i.postings.limit(0)), i.docs.withColumn("length", F.lit(0)), i.postings)
-    return again.terms().join(again.docs.join(again.postings, "doc_id").groupBy("term").agg(F.sum("length").alias("lengths")), "term")
+    rows = beside(again.postings, again.docs.select("doc_id", "length"))
+    return frequencies(rows, ["term"], F.sum("length").alias("lengths"))
 
 
 def segment_assignment(spark, sf_dir):

@@ -4,7 +4,7 @@ import pytest
 
 from sparkdex.errors import QueryError
 from sparkdex.operators import changes, stats
-from sparkdex.operators.index import Index, add_postings, build, empty, merge, numbered, segment_terms, segmented, upsert
+from sparkdex.operators.index import Index, add_postings, beside, build, empty, frequencies, merge, numbered, segment_terms, segmented, upsert
 from sparkdex.plans import search as S
 from sparkdex.plans.query import Clause, Query, parse
 
@@ -134,6 +134,11 @@ def test_postings_are_grouped_within_rows(spark):
     assert not re.search(r"(keys|key)=\[[^\]]*term", plan) and not re.search(r"\bSort \[", plan)
 
 
+def exchanges(plan, what):
+    """Lines of a plan that shuffle or sort, of the side that carries ``what``."""
+    return [x for x in plan.splitlines() if what in x and ("Sort [" in x or "SortMergeJoin" in x or "ENSURE_REQUIREMENTS" in x)]
+
+
 def test_segment_terms_of_many_documents(spark):
     """Against a plain count, for more documents than a range partitioning samples whole; postings aren't sorted."""
     rows = [(f"d/{k * 7919 % 6000:06d}", ["a", f"w{k % 7}", "a"], {}, "", "") for k in range(6000)]
@@ -149,6 +154,24 @@ def test_segment_terms_of_many_documents(spark):
     assert "SortMergeJoin" not in plan_of(got)
 
 
+def large(spark, rows):
+    """An index of rows whose size isn't known to be small, as over a table."""
+    return build(spark.createDataFrame([(d, t.split(), f, d, d) for d, t, f in rows], TOKENS).repartition(3))
+
+
+def test_imported_postings_are_not_shuffled_again(spark):
+    i = large(spark, CORPUS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = add_postings(Index(i.docs.limit(0), i.postings.limit(0)), i.docs.selectExpr("doc_id", "0 as length", "fields", "title", "content_hash"), i.postings)
+        lengths = frequencies(beside(again.postings, again.docs.select("doc_id", "length")), ["term"])
+        assert "SortMergeJoin" not in plan_of(again.postings) and "SortMergeJoin" not in plan_of(lengths)
+        assert not exchanges(plan_of(again.postings), "term#")
+        assert {(r.term, r.doc_freq, r.total_freq) for r in lengths.collect()} == {("alpha", 3, 4), ("beta", 4, 5), ("gamma", 3, 5)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_stats(index):
     c = stats.compute(index)
     assert (c.documents, c.terms, c.tokens) == (5, 3, 14)
