@@ -59,8 +59,8 @@ def frequencies(postings: DataFrame, keys: list[str], *more: Column) -> DataFram
 
 
 def beside(postings: DataFrame, docs: DataFrame, how: str = "inner") -> DataFrame:
-    """Postings with columns of their documents. Documents are looked up in a hash table of each task's own, so that
-    they aren't sorted, and those that ``build`` has dealt by id aren't shuffled again."""
+    """Postings (or texts) with columns of their documents. Documents are looked up in a hash table of each task's own, so that
+    neither is sorted, and postings that ``build`` has dealt by id aren't shuffled again."""
     return postings.join(docs.hint("shuffle_hash"), "doc_id", how)
 
 
@@ -155,9 +155,9 @@ def merge(*indexes: Index) -> Index:
     """The union of indexes; of documents of one id, the last index's, with its postings alone.
 
     Each index's postings are held to its own remaining documents by id alone, before the union, so they stay where
-    ``build`` has dealt them.
+    ``build`` has dealt them. Where all indexes have their texts, so has the union.
     """
-    docs = postings = None
+    docs = postings = texts = None
     for k, i in enumerate(indexes):
         d = i.docs.withColumn("__from", F.lit(k))
         docs = d if docs is None else docs.unionByName(d)
@@ -166,7 +166,10 @@ def merge(*indexes: Index) -> Index:
         own = docs.where(F.col("__from") == k).select("doc_id")
         p = beside(i.postings.select("term", "doc_id", "tf", "positions"), own, "left_semi")
         postings = p if postings is None else postings.unionByName(p)
-    return Index(docs.drop("__from"), postings.select("term", "doc_id", "tf", "positions"))
+        if all(j.texts is not None for j in indexes):
+            t = beside(i.texts, own, "left_semi")
+            texts = t if texts is None else texts.unionByName(t)
+    return Index(docs.drop("__from"), postings.select("term", "doc_id", "tf", "positions"), texts)
 
 
 def bounds_of(rows: DataFrame, key: str, parts: int, each: int = 100) -> list:

@@ -172,6 +172,24 @@ def test_imported_postings_are_not_shuffled_again(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_merged_postings_are_not_sorted(spark):
+    """The last index's documents, an emptied one among them; no task holds its postings to sort or join them."""
+    i = large(spark, CORPUS)
+    new = large(spark, [("notes.txt", "delta delta", {}), ("src/gamma.go", "", {}), ("z", "alpha", {})])
+    newest = large(spark, [("z", "omega", {})])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = merge(i, new, newest)
+        want = {("alpha", 2, 3), ("beta", 3, 4), ("gamma", 2, 2), ("delta", 1, 2), ("omega", 1, 1)}
+        for x in (m, Index(m.docs, m.postings)):
+            assert {(r.term, r.doc_freq, r.total_freq) for r in x.terms().collect()} == want
+            assert "SortMergeJoin" not in plan_of(x.terms())
+        assert m.docs.count() == 6
+        assert {r.doc_id: r.freq for r in S.selected(m, parse("alpha")).collect()} == {"docs/alpha.md": 2, "src/alpha.go": 1}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_stats(index):
     c = stats.compute(index)
     assert (c.documents, c.terms, c.tokens) == (5, 3, 14)
